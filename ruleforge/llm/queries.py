@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing
+from . import exact, mixing, packing, simhash, subword
 from .common import table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its quality score."""
+    return subword.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", 0.3)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every row of documents with its bin."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents with the row of its text that stays."""
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
@@ -20,9 +30,23 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its fingerprint and its group of near-duplicates."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its toxicity score."""
+    return subword.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", 0.5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
+    "op3_packing": op3_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
