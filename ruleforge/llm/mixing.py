@@ -25,7 +25,7 @@ from .common import WORD, running_start, staged, text_of
 
 BLOCK = 128
 SHARD_SLOTS = 1024
-ROUNDS = 12
+ROUNDS = 8
 _P = 2147483647
 
 
@@ -44,12 +44,15 @@ def _draw(i: str, total: str, div: str) -> str:
     return f"(({_mix(i, f'7 + ({i} {div} {_P}) * 7919')} * 2147483648 + {_mix(i, f'8 + ({i} {div} {_P}) * 7919')}) % {total})"
 
 
-def _round(acc: str, r: str, n: str, key: str, div: str) -> str:
+def _key(r: str, n: str, key: str) -> str:
+    """The round key of the permutation of n places."""
+    return f"{_mix(f'{key} * 64 + {r}', '99')} % {n}"
+
+
+def _round(acc: str, k: str, n: str, div: str) -> str:
     """One involution of the permutation: acc and k - acc change places if the bit that both share says so."""
-    k = f"({_mix(f'{key} * 64 + {r}', '99')} % {n})"
     other = f"(({k} - {acc} + {n}) % {n})"
-    top = f"greatest({acc}, {other})"
-    bit = f"(({_mix(top, f'{k} + {r} * 7919 + {key}')} {div} 4096) % 2)"
+    bit = f"(({_mix(f'greatest({acc}, {other})', f'{k} * 7919 + {n}')} {div} 4096) % 2)"
     return f"CASE WHEN {bit} = 1 THEN {other} ELSE {acc} END"
 
 
@@ -94,6 +97,21 @@ def _array(values: list[int]) -> str:
     return "array(" + ", ".join(f"{v}L" for v in values) + ")"
 
 
+def _at(values: list[int], index: str) -> str:
+    return f"get({_array(values)}, CAST({index} AS INT))"
+
+
+def _search(df: DataFrame, ends: list[int], value: str, out: str) -> DataFrame:
+    """Adds out: how many of the ascending ends are not above the value, by binary search, one projection a step."""
+    df = df.withColumn(out, F.lit(0).cast("bigint"))
+    step = 1 << max(0, len(ends).bit_length() - 1)
+    while step:
+        end = _at(ends, f"{out} + {step - 1}")
+        df = df.withColumn(out, F.expr(f"CASE WHEN {out} + {step} <= {len(ends)} AND {end} <= {value} THEN {out} + {step} ELSE {out} END"))
+        step //= 2
+    return df
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source and size (words) of every row."""
     return docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("bigint").alias("size"))
@@ -114,26 +132,29 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
 
     quota, total = [r["quota"] for r in known], sum(r["quota"] for r in known)
     ends = [sum(quota[: i + 1]) for i in range(len(quota))]
-    pick = lambda at, n: f"CAST(size(filter({_array(at)}, e -> e <= {n})) AS BIGINT)"
-    drawn = spark.range(0, total, 1, max(1, min(200, total // 100_000))).select(F.expr(f"id div {shard_slots}").alias("shard"), F.expr(pick(ends, _draw("id", str(max(total, 1)), "div"))).alias("src"))
+    drawn = spark.range(0, total, 1, max(1, min(1000, total // 50_000))).select(F.expr(f"id div {shard_slots}").alias("shard"), F.expr(_draw("id", str(max(total, 1)), "div")).alias("_u"))
+    drawn = _search(drawn, ends, "_u", "src")
     counts = staged(drawn.groupBy("shard", "src").agg(F.count(F.lit(1)).alias("drawn")), "mix-counts")
     counts = counts.withColumn("_bucket", F.expr("shard div 256"))
     got = {r["src"]: r["n"] for r in counts.groupBy("src").agg(F.sum("drawn").alias("n")).collect()}  # one row a source
     lacks = [max(0, q - got.get(i, 0)) for i, q in enumerate(quota)]
 
-    at = lambda values, i: f"element_at({_array(values)}, CAST({i} AS INT) + 1)"
     if known:
-        owned = running_start(counts, ["src"], "_bucket", ["shard"], "drawn", "_from").withColumn("_kept", F.expr(f"greatest(0L, least(drawn, {at(quota, 'src')} - _from))"))
-        own = owned.where("_kept > 0").select("shard", "src", F.explode(F.expr("sequence(_from, _from + _kept - 1)")).alias("n"))
+        parts = max(1, min(1000, total // 50_000))
+        owned = running_start(counts, ["src"], "_bucket", ["shard"], "drawn", "_from").withColumn("_kept", F.expr(f"greatest(0L, least(drawn, {_at(quota, 'src')} - _from))"))
+        own = owned.where("_kept > 0").repartition(parts, "shard", "src").select("shard", "src", F.explode(F.expr("sequence(_from, _from + _kept - 1)")).alias("n"))
         over = owned.groupBy("_bucket", "shard").agg(F.sum(F.expr("drawn - _kept")).alias("_over")).where("_over > 0")
         lack_ends = [sum(lacks[: i + 1]) for i in range(len(lacks))]
-        moved = running_start(over, [], "_bucket", ["shard"], "_over", "_from").select("shard", F.explode(F.expr("sequence(_from, _from + _over - 1)")).alias("_i"))
-        moved = moved.withColumn("src", F.expr(pick(lack_ends, "_i")))
-        moved = moved.select("shard", "src", F.expr(f"{at([q - x for q, x in zip(quota, lacks, strict=True)], 'src')} + _i - {at([e - x for e, x in zip(lack_ends, lacks, strict=True)], 'src')}").alias("n"))
-        slots = own.unionByName(moved).withColumn("_blocks", F.expr(at([r["blocks"] for r in known], "src")))
+        moved = running_start(over, [], "_bucket", ["shard"], "_over", "_from").repartition(parts, "shard").select("shard", F.explode(F.expr("sequence(_from, _from + _over - 1)")).alias("_i"))
+        moved = _search(moved, lack_ends, "_i", "src")
+        moved = moved.select("shard", "src", F.expr(f"{_at([q - x for q, x in zip(quota, lacks, strict=True)], 'src')} + _i - {_at([e - x for e, x in zip(lack_ends, lacks, strict=True)], 'src')}").alias("n"))
+        slots = own.unionByName(moved).withColumn("_blocks", F.expr(_at([r["blocks"] for r in known], "src")))
         slots = slots.withColumn("pass", F.expr("n div _blocks")).withColumn("_at", F.expr("n % _blocks"))
-        turn = _round("acc", "CAST(r AS BIGINT)", "_blocks", "(src * 3 + pass)", "div")
-        slots = slots.withColumn("block", F.expr(f"aggregate(sequence(0, {ROUNDS - 1}), _at, (acc, r) -> {turn})")).select("shard", "src", "n", "pass", "block")
+        # each round is a projection of its own, so that its inputs are computed once, in generated code
+        for r in range(ROUNDS):
+            slots = slots.withColumn("_k", F.expr(_key(str(r), "_blocks", "(src * 3 + pass)"))).withColumn("_at", F.expr(_round("_at", "_k", "_blocks", "div")))
+        # written, as a filter pushed into the rounds would copy their expressions into one another
+        slots = staged(slots.select("shard", "src", "n", "pass", F.col("_at").alias("block")), "mix-slots")
     else:
         slots = spark.createDataFrame([], "shard bigint, src bigint, n bigint, pass bigint, block bigint")
     return Mix(rows, sources, slots, block)
@@ -198,7 +219,8 @@ def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _oracle() -> str:
-    turn = _round("acc", "r", "blocks", "(src * 3 + pass)", "//")
+    keys = f"list_transform(range({ROUNDS}), lambda r: {_key('r', 'blocks', '(src * 3 + pass)')})"
+    turn = _round("acc", "k", "blocks", "//")
     return rf"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
 sources AS ({_SOURCES.format(sized="sized", block=BLOCK, div="//")}),
@@ -212,7 +234,7 @@ own AS (SELECT r.src, r.n FROM ranked AS r JOIN sources AS s USING (src) WHERE r
 lacks AS (SELECT s.src, s.quota - count(o.src) AS lack, count(o.src) AS have FROM sources AS s LEFT JOIN own AS o USING (src) GROUP BY s.src, s.quota),
 moved AS (SELECT src, have + unnest(range(lack)) AS n FROM lacks),
 slots AS (SELECT x.src, x.n // s.blocks AS pass, x.n % s.blocks AS spot, s.blocks FROM (SELECT src, n FROM own UNION ALL SELECT src, n FROM moved) AS x JOIN sources AS s USING (src)),
-used AS (SELECT src, list_reduce(list_prepend(spot, range({ROUNDS})), lambda acc, r: {turn}) AS block FROM slots),
+used AS (SELECT src, list_reduce(list_prepend(spot, {keys}), lambda acc, k: {turn}) AS block FROM slots),
 usage AS (SELECT src, block, count(*) AS times FROM used GROUP BY src, block),
 cut AS (SELECT *, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block FROM places WHERE size > 0),
 taken AS (SELECT c.src, c.start, c.doc_id, c.size, CAST(sum((least(c.start + c.size, (c.block + 1) * {BLOCK}) - greatest(c.start, c.block * {BLOCK})) * coalesce(u.times, 0)) AS BIGINT) AS taken
