@@ -59,20 +59,68 @@ def relevant(df: DataFrame, rule: Rule, index: Column, options: Options) -> Colu
     return F.coalesce(place & extra, F.lit(False))
 
 
-_W = "Microsoft-Windows-"
-_SYSMON = _W + "Sysmon/Operational"
-_OPERATIONAL = {"sysmon": "Sysmon", "powershell": "PowerShell", "taskscheduler": "TaskScheduler", "wmi": "WMI-Activity", "windefend": "Windows Defender", "bits-client": "Bits-Client", "ntlm": "NTLM", "codeintegrity-operational": "CodeIntegrity", "printservice-operational": "PrintService", "terminalservices-localsessionmanager": "TerminalServices-LocalSessionManager", "appxdeployment-server": "AppXDeploymentServer", "shell-core": "Shell-Core"}
-SERVICES: dict[str, tuple[str, ...]] = {k: (f"{_W}{v}/Operational",) for k, v in _OPERATIONAL.items()} | {
-    k: tuple(v.split(";"))
-    for k, v in {
-        "security": "Security", "system": "System", "application": "Application", "powershell-classic": "Windows PowerShell", "dns-server": "DNS Server", "openssh": "OpenSSH/Operational", "msexchange-management": "MSExchange Management",
-        "dns-server-audit": _W + "DNS-Server/Audit", "firewall-as": _W + "Windows Firewall With Advanced Security/Firewall", "smbclient-security": _W + "SmbClient/Security", "ldap_debug": _W + "LDAP-Client/Debug", "printservice-admin": _W + "PrintService/Admin",
-        "security-mitigations": ";".join(f"{_W}Security-Mitigations/{x} Mode" for x in ("Kernel", "User")),
-        "applocker": ";".join(f"{_W}AppLocker/{x}" for x in ("EXE and DLL", "MSI and Script", "Packaged app-Deployment", "Packaged app-Execution")),
-    }.items()
-}
-_BY_SYSMON = "network_connection image_load file_event file_change file_delete file_rename file_block file_executable_detected registry_event registry_add registry_delete registry_set registry_rename process_access dns_query pipe_created wmi_event driver_load create_remote_thread raw_access_thread create_stream_hash clipboard_capture process_tampering sysmon_status sysmon_error"
-CATEGORIES: dict[str, tuple[str, ...]] = dict.fromkeys(_BY_SYSMON.split(), (_SYSMON,)) | dict.fromkeys(("ps_script", "ps_module"), SERVICES["powershell"]) | dict.fromkeys(("ps_classic_start", "ps_classic_provider_start", "ps_classic_script"), SERVICES["powershell-classic"]) | {"process_creation": (_SYSMON, "Security")}
+# The channels of services and categories, as the rule format's log sources name them.
+SERVICES: dict[str, tuple[str, ...]] = {
+    "security": ("Security",),
+    "system": ("System",),
+    "application": ("Application",),
+    "sysmon": ("Microsoft-Windows-Sysmon/Operational",),
+    "powershell": ("Microsoft-Windows-PowerShell/Operational",),
+    "powershell-classic": ("Windows PowerShell",),
+    "taskscheduler": ("Microsoft-Windows-TaskScheduler/Operational",),
+    "wmi": ("Microsoft-Windows-WMI-Activity/Operational",),
+    "windefend": ("Microsoft-Windows-Windows Defender/Operational",),
+    "dns-server": ("DNS Server",),
+    "dns-server-audit": ("Microsoft-Windows-DNS-Server/Audit",),
+    "firewall-as": ("Microsoft-Windows-Windows Firewall With Advanced Security/Firewall",),
+    "bits-client": ("Microsoft-Windows-Bits-Client/Operational",),
+    "ntlm": ("Microsoft-Windows-NTLM/Operational",),
+    "smbclient-security": ("Microsoft-Windows-SmbClient/Security",),
+    "ldap_debug": ("Microsoft-Windows-LDAP-Client/Debug",),
+    "codeintegrity-operational": ("Microsoft-Windows-CodeIntegrity/Operational",),
+    "printservice-admin": ("Microsoft-Windows-PrintService/Admin",),
+    "printservice-operational": ("Microsoft-Windows-PrintService/Operational",),
+    "terminalservices-localsessionmanager": ("Microsoft-Windows-TerminalServices-LocalSessionManager/Operational",),
+    "msexchange-management": ("MSExchange Management",),
+    "appxdeployment-server": ("Microsoft-Windows-AppXDeploymentServer/Operational",),
+    "shell-core": ("Microsoft-Windows-Shell-Core/Operational",),
+    "openssh": ("OpenSSH/Operational",),
+    "security-mitigations": ("Microsoft-Windows-Security-Mitigations/Kernel Mode", "Microsoft-Windows-Security-Mitigations/User Mode"),
+    "applocker": ("Microsoft-Windows-AppLocker/EXE and DLL", "Microsoft-Windows-AppLocker/MSI and Script", "Microsoft-Windows-AppLocker/Packaged app-Deployment", "Microsoft-Windows-AppLocker/Packaged app-Execution"),
+}
+CATEGORIES: dict[str, tuple[str, ...]] = {
+    "process_creation": ("Microsoft-Windows-Sysmon/Operational", "Security"),
+    "network_connection": ("Microsoft-Windows-Sysmon/Operational",),
+    "image_load": ("Microsoft-Windows-Sysmon/Operational",),
+    "file_event": ("Microsoft-Windows-Sysmon/Operational",),
+    "file_change": ("Microsoft-Windows-Sysmon/Operational",),
+    "file_delete": ("Microsoft-Windows-Sysmon/Operational",),
+    "file_rename": ("Microsoft-Windows-Sysmon/Operational",),
+    "file_block": ("Microsoft-Windows-Sysmon/Operational",),
+    "file_executable_detected": ("Microsoft-Windows-Sysmon/Operational",),
+    "registry_event": ("Microsoft-Windows-Sysmon/Operational",),
+    "registry_add": ("Microsoft-Windows-Sysmon/Operational",),
+    "registry_delete": ("Microsoft-Windows-Sysmon/Operational",),
+    "registry_set": ("Microsoft-Windows-Sysmon/Operational",),
+    "registry_rename": ("Microsoft-Windows-Sysmon/Operational",),
+    "process_access": ("Microsoft-Windows-Sysmon/Operational",),
+    "dns_query": ("Microsoft-Windows-Sysmon/Operational",),
+    "pipe_created": ("Microsoft-Windows-Sysmon/Operational",),
+    "wmi_event": ("Microsoft-Windows-Sysmon/Operational",),
+    "driver_load": ("Microsoft-Windows-Sysmon/Operational",),
+    "create_remote_thread": ("Microsoft-Windows-Sysmon/Operational",),
+    "raw_access_thread": ("Microsoft-Windows-Sysmon/Operational",),
+    "create_stream_hash": ("Microsoft-Windows-Sysmon/Operational",),
+    "clipboard_capture": ("Microsoft-Windows-Sysmon/Operational",),
+    "process_tampering": ("Microsoft-Windows-Sysmon/Operational",),
+    "sysmon_status": ("Microsoft-Windows-Sysmon/Operational",),
+    "sysmon_error": ("Microsoft-Windows-Sysmon/Operational",),
+    "ps_script": ("Microsoft-Windows-PowerShell/Operational",),
+    "ps_module": ("Microsoft-Windows-PowerShell/Operational",),
+    "ps_classic_start": ("Windows PowerShell",),
+    "ps_classic_provider_start": ("Windows PowerShell",),
+    "ps_classic_script": ("Windows PowerShell",),
+}
 
 
 def channels_of(source: Logsource) -> tuple[str, ...]:
