@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 from .windows import EPOCH
 
@@ -47,14 +48,20 @@ class Average:
 
 @dataclass
 class Distinct:
-    """Different values in [t - window, t]."""
+    """Different values in [t - window, t]; the heap has an entry for each time that a value was seen last."""
 
     window: int
     last: dict[str, int] = field(default_factory=dict)
+    heap: list = field(default_factory=list)
 
     def add(self, t: int, value: str) -> float:
-        self.last[value] = max(t, self.last.pop(value, t))
-        self.last = {v: at for v, at in self.last.items() if at >= t - self.window}
+        if t > self.last.get(value, t - 1):
+            self.last[value] = t
+            heappush(self.heap, (t, value))
+        while self.heap and self.heap[0][0] < t - self.window:
+            at, old = heappop(self.heap)
+            if self.last.get(old) == at:
+                del self.last[old]
         return float(len(self.last))
 
 

@@ -1,7 +1,8 @@
 """Windowed aggregates of conditions as window plans: a value for each event that the search matches.
 
-count, sum and avg are the two-bucket estimate, in which buckets of a group are separate partitions, or exact
-trailing ranges; count(field), min and max are exact. The range is [t - window, t] with both ends.
+count, sum and avg are the two-bucket estimate, or exact trailing ranges; count(field), min and max are exact. The
+range is [t - window, t] with both ends. All of them are partitioned by group and bucket of time, so that neither a hot
+group nor a rule without groups ends in one task.
 """
 
 from __future__ import annotations
@@ -54,18 +55,48 @@ def add_aggregate(df: DataFrame, base: Column, agg: Aggregate, window: int, comp
     return df.withColumn(out, F.coalesce(F.col("_hit") & TESTS[agg.op](F.col("_value"), float(agg.threshold)), F.lit(False))).select(*names, out)
 
 
+def _bucketed(df: DataFrame, window: int) -> DataFrame:
+    """Each row in the bucket of its time and, as one that only others see, in the next: the rows of [t - window, t] meet in t's bucket.
+
+    A hot group, or a rule without groups, is so cut along time. Rows of which _own is false have only what frames read.
+    """
+    kept = {"_hit", "_arg", "_us", "_seq"} | {c for c in df.columns if c.startswith("_g")}
+    bucket = F.expr(f"(_us + {EPOCH}) div {window + 1}")
+    both = df.withColumn("_two", F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("b"), F.lit(False).alias("own")))))
+    both = both.where("_two.own OR _hit")
+    return both.select(*[F.col(f"`{c}`") if c in kept else F.when(F.col("_two.own"), F.col(f"`{c}`")).alias(c) for c in df.columns], F.col("_two.b").alias("_in"), F.col("_two.own").alias("_own"))
+
+
 def _ranged(df: DataFrame, func: str, window: int, groups: list[str]) -> DataFrame:
-    trailing = Window.partitionBy(*groups).orderBy("_us").rangeBetween(-window, 0)
-    arg = F.when(F.col("_hit"), F.col("_arg"))
+    df = _bucketed(df, window)
     if func == "distinct":
-        return df.withColumn("_value", F.size(F.collect_set(arg).over(trailing)).cast("double"))
-    return df.withColumn("_value", (F.min if func == "min" else F.max)(arg).over(trailing))
+        return _distinct(df, window, groups)
+    trailing = Window.partitionBy(*groups, "_in").orderBy("_us").rangeBetween(-window, 0)
+    return df.withColumn("_value", (F.min if func == "min" else F.max)(F.when(F.col("_hit"), F.col("_arg"))).over(trailing)).where("_own")
+
+
+def _distinct(df: DataFrame, window: int, groups: list[str]) -> DataFrame:
+    """Different values in [t - window, t] as a running sum: a value counts from an occurrence until it was not seen for the window.
+
+    An occurrence adds 1 unless the value was seen within the window before it, and one that isn't followed by another
+    within the window takes 1 away right after it. No frame is evaluated anew for each row.
+    """
+    hits = df.where("_hit")
+    same = Window.partitionBy(*groups, "_in", "_arg").orderBy("_us", "_seq")
+    hits = hits.withColumns({"_last": F.lag("_us").over(same), "_next": F.lead("_us").over(same)})
+    hits = hits.withColumn("_step", F.when(F.col("_last") >= F.col("_us") - window, 0).otherwise(1))
+    gone = F.when(F.col("_next").isNull() | (F.col("_next") > F.col("_us") + window), F.struct((F.col("_us") + window + 1).alias("at"), F.lit(-1).alias("step"), F.lit(False).alias("real")))
+    both = hits.withColumn("_e", F.explode(F.array_compact(F.array(F.struct(F.col("_us").alias("at"), F.col("_step").alias("step"), F.lit(True).alias("real")), gone))))
+    running = Window.partitionBy(*groups, "_in").orderBy("_e.at").rangeBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("_value", F.sum("_e.step").over(running).cast("double")).where("_own AND _e.real").drop("_last", "_next", "_step", "_e")
+    others = df.where("_own AND NOT _hit").withColumn("_value", F.lit(None).cast("double"))
+    return counted.unionByName(others)
 
 
 def _exact(df: DataFrame, func: str, window: int, groups: list[str]) -> DataFrame:
-    trailing = Window.partitionBy(*groups).orderBy("_us").rangeBetween(-window, 0)
+    trailing = Window.partitionBy(*groups, "_in").orderBy("_us").rangeBetween(-window, 0)
     arg = F.when(F.col("_hit"), F.col("_arg"))
-    return df.withColumn("_value", {"count": F.count, "sum": F.sum, "avg": F.avg}[func](arg).over(trailing).cast("double"))
+    return _bucketed(df, window).withColumn("_value", {"count": F.count, "sum": F.sum, "avg": F.avg}[func](arg).over(trailing).cast("double")).where("_own")
 
 
 def _estimate(df: DataFrame, func: str, window: int, groups: list[str]) -> DataFrame:
