@@ -82,6 +82,20 @@ class Extremum:
         return self.queue[0][1]
 
 
+@dataclass
+class LastSeen:
+    """When each search matched last; not longer ago than the window, or at all if that is 0 or less."""
+
+    window: int
+    last: dict[str, int] = field(default_factory=dict)
+
+    def see(self, t: int, matched: list[str], names: list[str]) -> dict[str, bool]:
+        """Takes one event; which searches are recent."""
+        for n in matched:
+            self.last[n] = max(t, self.last.get(n, t))
+        return {n: n in self.last and (self.window <= 0 or self.last[n] >= t - self.window) for n in names}
+
+
 def aggregate_fold(func: str, window: int):
     """The fold of an aggregate function; count over a field is `distinct`."""
     if func in ("count", "sum"):

@@ -29,6 +29,15 @@ def number_of(v: Value) -> Column:
     return v.col.cast("double") if isinstance(v.kind, T.NumericType) else v.text.try_cast("double")
 
 
+def aggregate_input(agg: Aggregate, base: Column, compiler: Compiler) -> tuple[Column, Column, str]:
+    """Whether an event is counted, the argument of the function, and the function; count over a field is `distinct`."""
+    hit = F.coalesce(base, F.lit(False))
+    if agg.func == "count":
+        return (hit, F.coalesce(compiler.fields.direct(agg.field).text, F.lit("<nil>")), "distinct") if agg.field else (hit, F.lit(1.0), "count")
+    arg = number_of(compiler.fields.direct(agg.field))
+    return hit & arg.isNotNull(), arg, agg.func
+
+
 def add_aggregate(df: DataFrame, base: Column, agg: Aggregate, window: int, compiler: Compiler, options: Options, out: str) -> DataFrame:
     """Adds out: whether the event matches base and the aggregate over its group passes the threshold.
 
@@ -36,16 +45,9 @@ def add_aggregate(df: DataFrame, base: Column, agg: Aggregate, window: int, comp
     the column _value to a frame with _hit (whether base matches) and, where the function has a field, _arg.
     """
     groups = [f"_g{i}" for i in range(len(agg.group))]
-    arg: Column = F.lit(1.0)
-    hit = F.coalesce(base, F.lit(False))
-    if agg.func == "count" and agg.field:
-        arg = F.coalesce(compiler.fields.direct(agg.field).text, F.lit("<nil>"))
-    elif agg.func != "count":
-        arg = number_of(compiler.fields.direct(agg.field))
-        hit = hit & arg.isNotNull()
+    hit, arg, func = aggregate_input(agg, base, compiler)
     names = df.columns
     df = df.withColumns({g: compiler.fields.direct(name).col for g, name in zip(groups, agg.group, strict=True)} | {"_hit": hit, "_arg": arg})
-    func = "distinct" if agg.func == "count" and agg.field else agg.func
     if func in options.aggregators:
         df = options.aggregators[func](df, agg, window, groups)
     elif func in ("distinct", "min", "max"):
