@@ -57,13 +57,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column("_text").cast(pa.binary())
         prints = np.fromiter((fingerprint(t.as_py()) for t in texts), dtype="<u8", count=len(texts)).view("<i8")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints), batch.column("told")], names=["doc_id", "fp", "told"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("_text"))
-    return rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    """doc_id, fp (the fingerprint as a signed 64-bit number) and told, which tells texts of one id and fingerprint apart."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("_text"), F.xxhash64(text_of(text_col)).alias("told"))
+    return rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, told bigint")
 
 
 def _parts(fp: np.ndarray) -> list[np.ndarray]:
@@ -131,17 +131,29 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return _labelled(prints, full.select(F.col("l.comp").alias("a"), F.col("r.comp").alias("b")), "simhash-links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp, told), staged, and for each fingerprint (_fp) its comp and component_id, staged."""
     rows = staged(fingerprints(docs, id_col, text_col), "simhash-rows")
     prints = link_fingerprints(staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-prints"))
     least = prints.groupBy("comp").agg(F.min("first").alias("component_id"))
-    table = staged(prints.join(least, "comp").select(F.col("fp").alias("_fp"), "component_id"), "simhash-table")
+    return rows, staged(prints.join(least, "comp").select(F.col("fp").alias("_fp"), "comp", "component_id"), "simhash-table")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach)."""
+    rows, table = _grouped(docs, id_col, text_col)
     return rows.join(table, rows["fp"] == table["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the least id."""
-    found = near_duplicates(docs, id_col, text_col)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_id"])).dropDuplicates([id_col]).select(*docs.columns)
+    """docs with one row of each group of near-duplicates: that of the least id, a null id being the last.
+
+    Of several rows of a group with that id one stays, that of the least (fingerprint, text hash).
+    """
+    rows, table = _grouped(docs, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "told")
+    best = rows.join(table, rows["fp"] == table["_fp"]).groupBy("comp").agg(F.min(order).alias("best"))
+    stay = best.select(F.col("best.doc_id").alias("_id"), F.col("best.told").alias("_told"))
+    told = docs.withColumn("_mine", F.xxhash64(text_of(text_col)))
+    kept = told.join(stay, told[id_col].eqNullSafe(stay["_id"]) & (told["_mine"] == stay["_told"]))
+    return kept.dropDuplicates(["_id", "_told"]).select(*docs.columns)
