@@ -13,6 +13,7 @@ have equal values; null ids stay null; an empty table gives an empty result; fur
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import struct
 import zlib
@@ -20,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +122,6 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
-    press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         names, packed, size = [], [], 0
         for _, _, chunks in _chunked(t.as_py() for t in batch.column("_text").cast(pa.binary())):
@@ -133,7 +132,7 @@ def _stores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         seen.clear()  # what is forgotten is found again after the shuffle
                     seen.add(name)
                     names.append(name)
-                    packed.append(press.compress(chunk))
+                    packed.append(bz2.compress(chunk))
                     size += len(packed[-1])
             if size > _TOGETHER:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(packed, pa.binary())], names=["digest", "bytes"])
@@ -154,7 +153,6 @@ _READ = "media binary, payload_bytes bigint, payload_sha256 string, tail_crc32 b
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by medium and place -> one row for each medium, from the bytes read back."""
-    unpress = zstandard.ZstdDecompressor()
     rows: list[tuple] = []
     now, parts = None, []
 
@@ -180,7 +178,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     close()
                 now, parts = media, []
-            parts.append(unpress.decompress(packed.as_py(), max_output_size=MOST))
+            parts.append(bz2.decompress(packed.as_py()))
         if rows:
             yield batch_of()
     if now is not None:
