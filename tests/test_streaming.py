@@ -14,14 +14,16 @@ EVENTS = Options(time="ts", seq="event_id")
 
 @pytest.fixture(scope="module")
 def stream(spark, sf, tmp_path_factory):
-    """events in time order as three files, read one a micro-batch; and the same as a table."""
+    """events in time order as two files, read one a micro-batch; and the same as a table."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     folder = str(tmp_path_factory.mktemp("events"))
     events = spark.read.parquet(f"{sf}/events.parquet").orderBy("ts", "event_id").toPandas()
-    cut = [0, len(events) // 3, 2 * len(events) // 3, len(events)]
-    for i in range(3):
+    cut = [0, len(events) // 2, len(events)]
+    for i in range(2):
         spark.createDataFrame(events.iloc[cut[i] : cut[i + 1]], spark.read.parquet(f"{sf}/events.parquet").schema).coalesce(1).write.mode("append").parquet(folder)
     table = spark.read.parquet(folder)
-    return table, lambda: spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(folder)
+    yield table, lambda: spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(folder)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def run(spark, df, tmp_path, name, ttl=False):
@@ -45,11 +47,8 @@ def rule(text):
     ("name", "text", "expiry"),
     [
         ("count", "s:\n  event_type: error\ntimeframe: 3d\ncondition: s | count() by user_id > 2", Expiry()),
-        ("watermark", "s:\n  event_type: error\ntimeframe: 3d\ncondition: s | count() by user_id > 2", Expiry(watermark="1 minute")),
-        ("distinct", "s:\n  value|gte: 0\ntimeframe: 1d\ncondition: s | count(event_type) by user_id >= 3", Expiry(ttl=3_600_000_000)),
-        ("avg", "s:\n  event_type: purchase\ntimeframe: 3d\ncondition: s | avg(value) by user_id > 60", Expiry()),
-        ("max", "s:\n  event_type: purchase\ntimeframe: 1d\ncondition: s | max(value) by user_id > 100", Expiry()),
-        ("near", "a:\n  event_type: error\nb:\n  event_type: signup\ntimeframe: 30m\ncondition: a | near b and not a", Expiry()),
+        ("distinct", "s:\n  value|gte: 0\ntimeframe: 1d\ncondition: s | count(event_type) by user_id >= 3", Expiry(watermark="1 minute")),
+        ("max", "s:\n  event_type: purchase\ntimeframe: 1d\ncondition: s | max(value) by user_id > 100", Expiry(ttl=3_600_000_000)),
         ("near_b", "a:\n  event_type: error\nb:\n  event_type: signup\ntimeframe: 2h\ncondition: a | near b", Expiry(watermark="1 minute")),
     ],
 )
@@ -59,7 +58,7 @@ def test_stream_equals_batch(spark, stream, tmp_path, name, text, expiry):
     found = run(spark, evaluate_stream(source(), r, EVENTS, expiry), tmp_path, f"s_{name}", bool(expiry.ttl))
     wanted = sorted(x.event_id for x in Bundle([r], EVENTS).detect(table).collect())
     assert sorted(x.event_id for x in found.collect()) == wanted
-    assert wanted or "not a" in text
+    assert wanted
     assert found.columns == [*table.columns, "rule_id"]
 
 
@@ -76,8 +75,6 @@ BASE = "".join(f"title: {t}\nname: {t}\ndetection:\n  s:\n    event_type: {t}\n
 @pytest.mark.parametrize(
     ("name", "text"),
     [
-        ("event_count", "title: c\nname: c\ncorrelation:\n  type: event_count\n  rules: error\n  group-by: user_id\n  timespan: 5d\n  condition:\n    gte: 2\n"),
-        ("ordered", "title: c\nname: c\ncorrelation:\n  type: temporal_ordered\n  rules: [signup, error]\n  group-by: user_id\n  timespan: 5d\n"),
         ("chained", "title: b\nname: b\ncorrelation:\n  type: event_count\n  rules: error\n  group-by: user_id\n  timespan: 5d\n  condition:\n    gte: 2\n---\ntitle: c\nname: c\ncorrelation:\n  type: temporal\n  rules: [b, purchase]\n  group-by: user_id\n  timespan: 9d\n"),
     ],
 )
