@@ -40,6 +40,7 @@ ROUNDS = 2
 BATCH = 256
 _EDGE = VOCABULARY
 _CACHE = 300_000
+_BLOCK = 2048
 _SHAPES = {"embed": (VOCABULARY + 1, WIDTH), "mix": (2 * SPAN * WIDTH, HIDDEN), "shift": (HIDDEN,), "group": (HIDDEN, SIDE), "group_shift": (SIDE,), "place": (SIDE, HIDDEN, SIDE), "place_shift": (SIDE, SIDE)}
 
 
@@ -71,43 +72,60 @@ class Network:
         x = w["embed"][around].reshape(len(around), -1)
         return x, np.tanh(x @ w["mix"] + w["shift"])
 
+    def _places(self, h: np.ndarray, ends: list[int]) -> np.ndarray:
+        """Logits of the places in the class; rows are sorted by class, ends are those of the classes."""
+        w, z, start = self.weights, np.empty((len(h), SIDE), dtype=np.float32), 0
+        for g, end in enumerate(ends):
+            if end > start:
+                np.matmul(h[start:end], w["place"][g], out=z[start:end])
+                z[start:end] += w["place_shift"][g]
+            start = end
+        return z
+
     def log_probabilities(self, around: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Of each token, given the 2 * SPAN around it."""
         w = self.weights
         _, h = self.hidden(around)
         group, place = tokens // SIDE, tokens % SIDE
-        first = _log_softmax(h @ w["group"] + w["group_shift"])[np.arange(len(tokens)), group]
-        second = np.empty(len(tokens), dtype=np.float32)
         order = np.argsort(group, kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=SIDE))
-        for g, end in enumerate(ends):
-            rows = order[ends[g - 1] if g else 0 : end]
-            if len(rows):
-                second[rows] = _log_softmax(h[rows] @ w["place"][g] + w["place_shift"][g])[np.arange(len(rows)), place[rows]]
-        return first + second
+        h, group, place = h[order], group[order], place[order]
+        found = _picked(h @ w["group"] + w["group_shift"], group)
+        found += _picked(self._places(h, np.cumsum(np.bincount(group, minlength=SIDE)).tolist()), place)
+        out = np.empty_like(found)
+        out[order] = found
+        return out
 
     def step(self, around: np.ndarray, tokens: np.ndarray, rate: float) -> None:
         """One descent step on a batch."""
         w, n = self.weights, len(tokens)
+        order = np.argsort(tokens, kind="stable")
+        around, tokens = around[order], tokens[order]
         x, h = self.hidden(around)
-        group, place = tokens // SIDE, tokens % SIDE
+        rows, group, place = np.arange(n), tokens // SIDE, tokens % SIDE
+        ends = np.cumsum(np.bincount(group, minlength=SIDE)).tolist()
         p = np.exp(_log_softmax(h @ w["group"] + w["group_shift"]))
-        p[np.arange(n), group] -= 1
+        p[rows, group] -= 1
+        q = np.exp(_log_softmax(self._places(h, ends)))
+        q[rows, place] -= 1
         to_h = p @ w["group"].T
         w["group"] -= rate / n * (h.T @ p)
         w["group_shift"] -= rate / n * p.sum(axis=0)
-        for g in np.unique(group):
-            rows = np.flatnonzero(group == g)
-            q = np.exp(_log_softmax(h[rows] @ w["place"][g] + w["place_shift"][g]))
-            q[np.arange(len(rows)), place[rows]] -= 1
-            to_h[rows] += q @ w["place"][g].T
-            w["place"][g] -= rate / n * (h[rows].T @ q)
-            w["place_shift"][g] -= rate / n * q.sum(axis=0)
+        start = 0
+        for g, end in enumerate(ends):
+            if end > start:
+                mine = q[start:end]
+                to_h[start:end] += mine @ w["place"][g].T
+                w["place"][g] -= rate / n * (h[start:end].T @ mine)
+                w["place_shift"][g] -= rate / n * mine.sum(axis=0)
+            start = end
         to_sum = to_h * (1 - h * h)
         to_x = (to_sum @ w["mix"].T).reshape(-1, WIDTH)
         w["mix"] -= rate / n * (x.T @ to_sum)
         w["shift"] -= rate / n * to_sum.sum(axis=0)
-        np.add.at(w["embed"], around.ravel(), -rate / n * to_x)
+        order = np.argsort(around, axis=None, kind="stable")
+        ids = around.ravel()[order]
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        w["embed"][ids[first]] -= rate / n * np.add.reduceat(to_x[order], first)
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -115,10 +133,21 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def windows(ids: np.ndarray) -> np.ndarray:
-    """For each token the SPAN ids before and the SPAN after it."""
-    padded = np.concatenate((np.full(SPAN, _EDGE), ids, np.full(SPAN, _EDGE)))
-    return np.stack([padded[SPAN + d : SPAN + d + len(ids)] for d in range(-SPAN, SPAN + 1) if d], axis=1)
+def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The entry `at` of each row of the log-softmax of z."""
+    top = z.max(axis=1)
+    picked = z[np.arange(len(z)), at] - top
+    z -= top[:, None]
+    return picked - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def windows(ids: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """For each token, or those at the given places, the SPAN ids before and the SPAN after it."""
+    padded = np.concatenate((np.full(SPAN, _EDGE, dtype=ids.dtype), ids, np.full(SPAN, _EDGE, dtype=ids.dtype)))
+    steps = [d for d in range(-SPAN, SPAN + 1) if d]
+    if at is not None:
+        return np.stack([padded[at + (SPAN + d)] for d in steps], axis=1)
+    return np.stack([padded[SPAN + d : SPAN + d + len(ids)] for d in steps], axis=1)
 
 
 def masked(n: int, seed: int) -> np.ndarray:
@@ -129,23 +158,26 @@ def masked(n: int, seed: int) -> np.ndarray:
     return found if len(found) or not n else np.array([seed % n])
 
 
+class _Known(dict):
+    """Ids by word; a word that is missing gets its hashed id."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = VOCABULARY - OTHERS + xxhash.xxh64_intdigest(word, 3) % OTHERS
+        return found
+
+
 class Ids:
     """Ids of words, kept in a bounded dictionary."""
 
     def __init__(self, words: list[bytes]) -> None:
         self.own = {w: i for i, w in enumerate(words)}
-        self.known = dict(self.own)
+        self.known = _Known(self.own)
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.split()
-        fresh = [w for w in set(words) if w not in self.known]
-        if fresh:
-            if len(self.known) + len(fresh) > _CACHE:
-                self.known = dict(self.own)
-                fresh = [w for w in set(words) if w not in self.known]
-            for w in fresh:
-                self.known[w] = VOCABULARY - OTHERS + xxhash.xxh64_intdigest(w, 3) % OTHERS
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        if len(self.known) > _CACHE:
+            self.known = _Known(self.own)
+        return np.array(list(map(self.known.__getitem__, words)), dtype="<i2")
 
 
 def vocabulary(docs: DataFrame) -> list[bytes]:
@@ -155,14 +187,13 @@ def vocabulary(docs: DataFrame) -> list[bytes]:
     return [r["word"].encode() for r in top.collect()]
 
 
-def train(docs: DataFrame, words: list[bytes], rounds: int = ROUNDS, rate: float = 0.5, part_bytes: int = 32 << 20) -> Network:
-    """Averaged descent over all of docs; part_bytes: text for one copy of the weights."""
-    sc = docs.sparkSession.sparkContext
-    shared_words = sc.broadcast(words)
-    size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
+def train(tokens: DataFrame, rounds: int = ROUNDS, rate: float = 0.5, part_bytes: int = 32 << 20) -> Network:
+    """Averaged descent over all of tokens (see tokenized); part_bytes: text for one copy of the weights."""
+    sc = tokens.sparkSession.sparkContext
+    size = tokens.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(2, -(-size // part_bytes))
     net = Network.fresh()
-    rows = staged(_masked_windows(docs, shared_words), "lm-windows").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    rows = tokens.where("octet_length(windows) > 0").select("key", "windows", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"))
     for turn in range(rounds):
         start = sc.broadcast(net.flat())
         step = rate / (1 + turn)
@@ -192,40 +223,43 @@ def train(docs: DataFrame, words: list[bytes], rounds: int = ROUNDS, rate: float
     return net
 
 
-def _masked_windows(docs: DataFrame, shared_words) -> DataFrame:
-    """key, windows (int16: the token, then the ids around it) of the masked tokens of every document that has words."""
+def tokenized(docs: DataFrame, words: list[bytes]) -> DataFrame:
+    """doc_id, key, n_bytes, ids and windows (int16) of every row: all token ids; of the masked ones the token, then the ids around it."""
+    shared_words = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids(shared_words.value)
         for batch in batches:
-            keys, packed = [], []
+            keys, sizes, whole, packed = [], [], [], []
             for text in batch.column("_text").cast(pa.binary()):
-                found = ids(text.as_py())
-                if len(found):
-                    key = xxhash.xxh64_intdigest(text.as_py(), 5) >> 1
-                    at = masked(len(found), key)
-                    keys.append(key)
-                    packed.append(np.column_stack((found[at], windows(found)[at])).astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["key", "windows"])
+                text = text.as_py()
+                found = ids(text)
+                keys.append(xxhash.xxh64_intdigest(text, 5) >> 1)
+                sizes.append(len(text))
+                whole.append(found.tobytes())
+                at = masked(len(found), keys[-1])
+                packed.append(np.column_stack((found[at], windows(found, at))).tobytes() if len(at) else b"")
+            columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "key", "n_bytes", "ids", "windows"])
 
-    return docs.select(text_of().alias("_text")).mapInArrow(run, "key bigint, windows binary")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("_text"))
+    return rows.mapInArrow(run, "doc_id bigint, key bigint, n_bytes bigint, ids binary, windows binary")
 
 
-def score(docs: DataFrame, net: Network, words: list[bytes]) -> DataFrame:
+def score(tokens: DataFrame, net: Network) -> DataFrame:
     """Per row: doc_id, n_tokens, score (summed log-probability), mean_score (by token; null without tokens)."""
-    shared = docs.sparkSession.sparkContext.broadcast((net.flat(), words))
+    shared = tokens.sparkSession.sparkContext.broadcast(net.flat())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, known = shared.value
-        mine, ids = Network.of(flat), Ids(known)
+        mine = Network.of(shared.value)
         for batch in batches:
             sizes, sums = [], []
             found: list[np.ndarray] = []
 
             def flush(found=found, sizes=sizes, sums=sums) -> None:
                 if found:
-                    around, tokens = np.concatenate([windows(f) for f in found]), np.concatenate(found)
-                    got = np.concatenate([mine.log_probabilities(around[i : i + 8192], tokens[i : i + 8192]) for i in range(0, len(tokens), 8192)]) if len(tokens) else np.zeros(0, dtype=np.float32)
+                    around, ids = np.concatenate([windows(f) for f in found]), np.concatenate(found).astype(np.int64)
+                    got = np.concatenate([mine.log_probabilities(around[i : i + _BLOCK], ids[i : i + _BLOCK]) for i in range(0, len(ids), _BLOCK)]) if len(ids) else np.zeros(0, dtype=np.float32)
                     at = 0
                     for f in found:
                         sums.append(float(got[at : at + len(f)].sum(dtype=np.float64)))
@@ -234,8 +268,8 @@ def score(docs: DataFrame, net: Network, words: list[bytes]) -> DataFrame:
                     found.clear()
 
             held = 0
-            for text in batch.column("_text").cast(pa.binary()):
-                found.append(ids(text.as_py()))
+            for ids in batch.column("ids"):
+                found.append(np.frombuffer(ids.as_py(), dtype="<i2"))
                 held += len(found[-1])
                 if held > 50_000:
                     flush()
@@ -243,11 +277,11 @@ def score(docs: DataFrame, net: Network, words: list[bytes]) -> DataFrame:
             flush()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_tokens", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("_text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, score double")
+    rows = tokens.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, score double")
     return rows.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))
 
 
 def pseudo_likelihood(docs: DataFrame, **settings) -> DataFrame:
-    """Trains on docs (doc_id, text) and scores them."""
-    words = vocabulary(docs)
-    return score(docs, train(docs, words, **settings), words)
+    """Trains on docs (doc_id, text) and scores them. Texts are read once for the vocabulary and once for ids, which are kept."""
+    tokens = staged(tokenized(docs, vocabulary(docs)), "lm-tokens")
+    return score(tokens, train(tokens, **settings))
