@@ -4,7 +4,7 @@ A bin takes at most one document of each source and of each duplicate cluster; i
 go in by falling size. The open bins lie ordered by residual space; the search starts at the successor of the size,
 the tightest bin that has room, and goes on to the next until one is compatible; without one a bin is opened.
 
-Rows are dealt to shards by the hash of their id, about `shard_rows` rows each, and every shard is packed in one
+Rows are dealt to shards by the hash of their id and cluster, about `shard_rows` rows each, and every shard is packed in one
 task, so the work of a task is bounded and a hot source or cluster is in all shards alike. Only sizes travel, no texts.
 
 Defined cases: a text longer than a bin is cut into pieces; all but the last fill a bin each (piece numbers from 0,
@@ -96,7 +96,7 @@ def pack(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACIT
     """Packs docs (doc_id, text, source). cluster: what copies share, by default the text. Gives SCHEMA; a bin is (shard, bin)."""
     shards = max(1, -(-docs.count() // shard_rows))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_count(text_of(), F.lit(WORD)).cast("bigint").alias("size"), F.col("source").cast("string").alias("source"), (text_cluster() if cluster is None else cluster).cast("string").alias("cluster"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         given = [(None if pd.isna(d) else int(d), int(n), s if isinstance(s, str) else None, c if isinstance(c, str) else None) for d, n, s, c in zip(pdf["doc_id"].astype("Int64"), pdf["size"], pdf["source"], pdf["cluster"], strict=True)]
