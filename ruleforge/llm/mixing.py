@@ -6,7 +6,8 @@ order, to sources below theirs, so the totals are exact. The n-th slot of a sour
 of pass n div blocks, where perm is a swap-or-not permutation with a key for each source and pass: no block is
 taken more than twice, as quotas stop at two passes. Slots and documents meet in a join by block index.
 
-Only the table of sources (one row a source: the components of the mix) goes to the driver. Stream offsets are
+Only the table of sources (one row a source: the components of the mix) goes to the driver; it is joined as a written
+table, which Spark broadcasts only below its size threshold. Stream offsets are
 running totals on two levels with about sqrt(rows) buckets, so a hot source is spread over all tasks.
 
 Defined cases: a null text or one without words has size 0 and takes nothing; a null source is a source of its own,
@@ -126,7 +127,7 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     rows_in_all = sum(r["docs"] for r in known)
     buckets = max(1, int(ceil_sqrt(rows_in_all)))
 
-    keyed = counted.join(F.broadcast(sources.select(F.col("source").alias("_source"), "src")), counted["source"].eqNullSafe(F.col("_source"))).drop("_source")
+    keyed = counted.join(sources.select(F.col("source").alias("_source"), "src"), counted["source"].eqNullSafe(F.col("_source"))).drop("_source")
     keyed = keyed.withColumn("_bucket", F.expr(_bucket(str(buckets), "div")))
     rows = staged(running_start(keyed, ["src"], "_bucket", [F.asc_nulls_first("doc_id"), "size"], "size", "start").drop("_bucket"), "mix-rows")
 
@@ -173,7 +174,7 @@ def mix_counts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     mix = plan_mix(docs, block)
     taken = mix.pieces().groupBy("src", "start", "doc_id", "size").agg(F.sum(F.expr("(last - first) * times")).alias("taken"))
     none = mix.rows.where("size = 0").select("src", "start", "doc_id", "size", F.lit(0).cast("bigint").alias("taken"))
-    about = F.broadcast(mix.sources.select("src", "source", F.col("n").alias("source_size"), "target"))
+    about = mix.sources.select("src", "source", F.col("n").alias("source_size"), "target")
     return taken.unionByName(none).join(about, "src").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
