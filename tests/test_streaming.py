@@ -1,5 +1,7 @@
 """Streams give what batch gives on input in order; late events follow the folds."""
 
+import time
+
 import pytest
 
 from ruleforge.operators.correlate import correlate
@@ -26,14 +28,17 @@ def stream(spark, sf, tmp_path_factory):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def run(spark, df, tmp_path, name, ttl=False):
+def run(spark, df, tmp_path, name, endless_until=None):
+    """endless_until: for a query that always has state to clean up, the number of rows after which it is stopped."""
     writer = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path))
-    query = writer.start() if ttl else writer.trigger(availableNow=True).start()
+    query = (writer if endless_until is not None else writer.trigger(availableNow=True)).start()
     try:
-        if ttl:
-            query.processAllAvailable()
-        else:
+        if endless_until is None:
             assert query.awaitTermination(180)
+        else:
+            end = time.monotonic() + 120
+            while spark.table(name).count() < endless_until and time.monotonic() < end and query.isActive:
+                time.sleep(1)
     finally:
         query.stop()
     return spark.table(name)
@@ -55,8 +60,8 @@ def rule(text):
 def test_stream_equals_batch(spark, stream, tmp_path, name, text, expiry):
     table, source = stream
     r = rule(text)
-    found = run(spark, evaluate_stream(source(), r, EVENTS, expiry), tmp_path, f"s_{name}", bool(expiry.ttl))
     wanted = sorted(x.event_id for x in Bundle([r], EVENTS).detect(table).collect())
+    found = run(spark, evaluate_stream(source(), r, EVENTS, expiry), tmp_path, f"s_{name}", len(wanted) if expiry.ttl else None)
     assert sorted(x.event_id for x in found.collect()) == wanted
     assert wanted
     assert found.columns == [*table.columns, "rule_id"]
