@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_of
+from .common import SPACE, staged, text_of
 
 
 def content_hash(text: Column) -> Column:
@@ -46,7 +46,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[Column], Column] = content_hash) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     rows = _keyed(docs, id_col, text_col, hash_of).select("doc_id", "_hash", F.unhex(F.sha2("_norm", 256)).alias("_sha"))
-    joined = rows.join(groups(docs, id_col, text_col, hash_of), ["_hash", "_sha"])
+    # written, so that both sides of the join are plain exchanges, of which Spark splits what a hot text makes large
+    joined = rows.join(staged(groups(docs, id_col, text_col, hash_of), "exact-groups"), ["_hash", "_sha"])
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
 
 
