@@ -10,7 +10,11 @@ from itertools import product
 
 from ruleforge.rules.reader import Stamp
 
+# The dashes and slash that windash exchanges; for base64offset, the characters that each alignment
+# drops at the start, and at the end by the length that the shifted value has modulo 3.
 DASHES = ("-", "/", "–", "—", "―")
+OFFSET_STARTS = (0, 2, 3)
+OFFSET_ENDS = (0, 3, 2)
 _DASH = re.compile(r"\B[-/]\b", re.ASCII)
 _MOST_DASHES = 6
 _PLACEHOLDER = re.compile(r"%[A-Za-z0-9_.-]+%")
@@ -55,8 +59,8 @@ def as_bytes(value: str | bytes) -> bytes:
 def base64_offsets(value: bytes) -> list[str]:
     """The text that the value leaves in base64 at each of the three alignments."""
     out = []
-    for shift, start in enumerate((0, 2, 3)):
-        drop = (0, 3, 2)[(len(value) + shift) % 3]
+    for shift, start in enumerate(OFFSET_STARTS):
+        drop = OFFSET_ENDS[(len(value) + shift) % 3]
         text = base64.b64encode(b" " * shift + value).decode()
         out.append(text[start : len(text) - drop])
     return out
