@@ -39,6 +39,7 @@ BUCKETS = 1 << 18
 NEUTRAL = 150
 _CACHE = 400_000
 _TOGETHER = 256
+_PART = 20_000
 _MUL = np.uint32(0x9E3779B1)
 #: The token read for a word that repeats the one before.
 REPEAT = b"\x00="
@@ -129,7 +130,7 @@ def bag(text: bytes, most: int) -> tuple[list[bytes], int]:
     return sorted(words, key=lambda w: (xxhash.xxh64_intdigest(w, 2), w))[:most], repeats
 
 
-def train(bags: list[tuple[list[bytes], int]], labels: np.ndarray, prior: float, buckets: int = BUCKETS, dim: int = 8, epochs: int = 5, rate: float = 0.1, scale: float = 50.0, decay: float = 1e-6, seed: int = 7) -> SubwordModel:
+def train(bags: Iterable[tuple[list[bytes], int]], labels: np.ndarray, prior: float, buckets: int = BUCKETS, dim: int = 8, epochs: int = 5, rate: float = 0.1, scale: float = 50.0, decay: float = 1e-6, seed: int = 7) -> SubwordModel:
     """Fits the model. labels: 0 or 1; prior: share of class 1 among all labelled rows.
 
     The scores hold for classes that are equally frequent, so that the rare class is found as well as the other.
@@ -139,13 +140,18 @@ def train(bags: list[tuple[list[bytes], int]], labels: np.ndarray, prior: float,
     if len(set(labels.tolist())) < 2:
         return SubwordModel(np.zeros(buckets, dtype=np.float32), float(np.log(prior / (1 - prior))))
     rng = np.random.default_rng(seed)
-    words = sorted({w for b, _ in bags for w in b} | {REPEAT})
-    spot = {w: i for i, w in enumerate(words)}
-    ids, counts = features(words, buckets)
+    # words become numbers as they come, and features are made a part at a time: the driver holds few texts at once
+    spot: dict[bytes, int] = {REPEAT: 0}
+    held = [(np.fromiter((spot.setdefault(w, len(spot)) for w in b), dtype=np.int32, count=len(b)), repeats) for b, repeats in bags]
+    words = list(spot)
+    del spot
+    parts = [features(words[at : at + _PART], buckets) for at in range(0, len(words), _PART)]
+    ids, counts = np.concatenate([i.astype(np.int32) for i, _ in parts]), np.concatenate([c for _, c in parts])
+    del words, parts
     starts = np.cumsum(counts) - counts
     docs: list[tuple[np.ndarray, np.ndarray]] = []
-    for b, repeats in bags:
-        at = np.array([spot[w] for w in b] + [spot[REPEAT]] * bool(repeats), dtype=np.int64)
+    for b, repeats in held:
+        at = np.append(b, 0) if repeats else b
         n = counts[at]
         times = np.ones(len(at)) if not repeats else np.concatenate((np.ones(len(b)), [repeats]))
         flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[at], n)
@@ -213,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 2000, w
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), text_of().alias("_text")).join(F.broadcast(some), "_id")
     found = texts.mapInArrow(bags, "_id bigint, _label int, bag binary, repeats bigint").toArrow().sort_by([("_id", "ascending"), ("bag", "ascending")])
-    unpacked = [(b.as_py().split(), n.as_py()) for b, n in zip(found.column("bag"), found.column("repeats"), strict=True)]
+    unpacked = ((b.as_py().split(), n.as_py()) for b, n in zip(found.column("bag"), found.column("repeats"), strict=True))
     total = sum(shares.values())
     return train(unpacked, np.array(found.column("_label").to_pylist(), dtype=np.int64), shares.get(1, 0) / total if total else 0.5, **settings)
 
