@@ -278,6 +278,33 @@ def test_passages_find_what_repeats(docs, rows, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def planted(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+
+@pytest.mark.parametrize("gap", [35, 140])
+def test_two_passages_of_one_pair_are_both_found(spark, gap):
+    rng = random.Random(gap)
+    one, two = words(rng, 60), words(rng, 60)
+    texts = [" ".join([words(rng, 30), one, words(rng, gap), two, words(rng, 30)]) for _ in range(2)]
+    for r in (found := passages.repeated_passages(planted(spark, texts)).collect()):
+        assert r.identity >= passages.IDENTITY and r.links == 1
+    for d in (0, 1):
+        covered = {i for r in found if r.doc_id == d for i in range(r.start, r.start + r.n_words)}
+        assert {*range(30, 90), *range(90 + gap, 150 + gap)} <= covered
+        assert len([r for r in found if r.doc_id == d]) == 2
+
+
+def test_good_runs_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(40):
+        columns = [rng.choice([(1, 1, True)] * 12 + [(1, 1, False), (1, 0, False), (0, 1, False)]) for _ in range(90)]
+        at = np.concatenate((np.zeros((1, 3), dtype=int), np.cumsum(np.array(columns, dtype=int), axis=0)))
+        fits = [(i, j) for i in range(90) for j in range(i + 1, 91) if columns[i][2] and columns[j - 1][2] and 5 * (at[j] - at[i])[2] >= 4 * (j - i) and (at[j] - at[i])[:2].min() >= passages.LEAST]
+        words_of_x = lambda spans: {w for i, j in spans for w in range(at[i][0], at[j][0])}
+        assert {w for r in passages.good(columns) for w in range(r[0], r[1])} == words_of_x(fits)
+
+
 def test_fenwick_and_chains_against_brute_force():
     rng = random.Random(4)
     for _ in range(30):
