@@ -295,6 +295,29 @@ def test_two_passages_of_one_pair_are_both_found(spark, gap):
         assert len([r for r in found if r.doc_id == d]) == 2
 
 
+def test_frequent_phrases_do_not_hide_a_passage(spark):
+    """Every phrase of a passage of two texts is frequent, each in texts of its own; a third text has another passage three times."""
+    rng = random.Random(8)
+    passage, thrice = words(rng, 64), words(rng, 55)
+    w = passage.split()
+
+    def within(low, high, make):
+        """A text whose class lies in this part of all classes."""
+        while True:
+            if low <= passages.class_of(passages.words_of((text := make()).encode())) / 2**63 < high:
+                return text
+
+    both = [within(*r, lambda: " ".join([words(rng, 80), passage, words(rng, 80)])) for r in ((0.3, 0.4), (0.6, 0.7))]
+    parts = [within(*r, lambda: " ".join([words(rng, 70), *w[at : at + 24], words(rng, 70)])) for at in range(0, 48, 8) for r in ((0, 0.3), (0.4, 0.6)) for _ in range(2)]
+    three = within(0, 0.2, lambda: " ".join(x for _ in range(3) for x in (words(rng, 100), thrice)))
+    texts = [*both, three, *(within(0.5, 1, lambda: words(rng, 60) + " " + thrice) for _ in range(3)), *parts]
+    found = passages.repeated_passages(planted(spark, texts)).collect()
+    covered = {d: {i for r in found if r.doc_id == d for i in range(r.start, r.start + r.n_words)} for d in range(6)}
+    assert all(set(range(80, 144)) <= covered[d] for d in (0, 1))
+    assert {i for n in range(3) for i in range(155 * n + 100, 155 * n + 155)} <= covered[2]
+    assert not {r.doc_id for r in found} & set(range(6, len(texts)))
+
+
 def test_good_runs_against_brute_force():
     rng = random.Random(6)
     for _ in range(40):
