@@ -318,6 +318,36 @@ def test_frequent_phrases_do_not_hide_a_passage(spark):
     assert not {r.doc_id for r in found} & set(range(6, len(texts)))
 
 
+def found_in_pair(x, y):
+    """Passages of two texts by all matches of their seeds."""
+    x, y = x.encode().split(), y.encode().split()
+    (h, p), (g, q) = passages.seeds(x), passages.seeds(y)
+    pairs = sorted({(int(p[i]), int(q[j])) for i in range(len(h)) for j in np.flatnonzero(g == h[i])})
+    a, b = np.array([m[0] for m in pairs], dtype=int), np.array([m[1] for m in pairs], dtype=int)
+    paths = [c for c in passages.chains(a, b) if min(a[c[-1]] - a[c[0]], b[c[-1]] - b[c[0]]) >= 1]
+    return [r for c in paths for r in passages.align(x, y, [pairs[i] for i in c])]
+
+
+def test_passages_with_many_edits():
+    rng = random.Random(9)
+    for every, least in ((10, 99), (8, 95), (7, 85)):
+        hits = 0
+        for _ in range(100):
+            passage = words(rng, 65).split()
+            edited = [words(rng, 1) + "x" if i % every == every - 1 else w for i, w in enumerate(passage)]
+            hits += bool(found_in_pair(" ".join([words(rng, 40), *passage, words(rng, 40)]), " ".join([words(rng, 55), *edited, words(rng, 30)])))
+        assert hits >= least, (every, hits)
+
+
+@pytest.mark.parametrize("period", [1, 2, 3, 5, 11])
+def test_seeds_of_periodic_passages_reach_over_them(period):
+    rng = random.Random(period)
+    line = words(rng, period)
+    at = passages.seeds([*words(rng, 30).encode().split(), *((line + " ") * (600 // period)).encode().split(), *words(rng, 30).encode().split()])[1]
+    inside = at[(at >= 30) & (at < 30 + 600 // period * period - passages.K)]
+    assert len(inside) > 600 / 16 - 2 and np.diff(inside).max() <= 20 and inside[-1] - inside[0] > 560
+
+
 def test_good_runs_against_brute_force():
     rng = random.Random(6)
     for _ in range(40):
