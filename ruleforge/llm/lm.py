@@ -5,7 +5,8 @@ their own, the rest share OTHERS hashed ids. The network embeds SPAN tokens on e
 and distance with its own part of the hidden layer, and gives the token in two softmax steps: its class (ids fall
 into classes of SIDE by frequency) and its place in the class; their product is a proper distribution over all ids.
 
-Training covers all documents: of every document each token whose position hashes into one of MASK parts is masked.
+Training covers every token of all documents: the positions of a document fall by hash into as many parts as there are
+rounds, and each round masks another part, so that every token is predicted once.
 Rows are dealt to as many partitions as the corpus needs; each runs numpy stochastic gradient descent from the same
 start over its own, and the weights are averaged, weighted by tokens, for ROUNDS rounds. What is gathered (counts, a
 set of weights for each partition, combined by key in Spark) thus grows with the corpus; what the driver gets is one
@@ -35,12 +36,12 @@ OTHERS = 512
 SPAN = 2
 WIDTH = 16
 HIDDEN = 32
-MASK = 16
 ROUNDS = 2
 BATCH = 256
 _EDGE = VOCABULARY
 _CACHE = 300_000
 _BLOCK = 2048
+_TOGETHER = 100_000
 _SHAPES = {"embed": (VOCABULARY + 1, WIDTH), "mix": (2 * SPAN * WIDTH, HIDDEN), "shift": (HIDDEN,), "group": (HIDDEN, SIDE), "group_shift": (SIDE,), "place": (SIDE, HIDDEN, SIDE), "place_shift": (SIDE, SIDE)}
 
 
@@ -150,12 +151,27 @@ def windows(ids: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     return np.stack([padded[SPAN + d : SPAN + d + len(ids)] for d in steps], axis=1)
 
 
-def masked(n: int, seed: int) -> np.ndarray:
-    """The positions below n that training masks, about one in MASK, one at least if there is a token."""
+def masked(n: int, seed: int, turn: int, rounds: int) -> np.ndarray:
+    """The positions below n that training masks in a round; each is masked in one of the rounds."""
     at = np.arange(n, dtype=np.uint64) + np.uint64(seed & 0xFFFFFFFF)
     mixed = (at * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    found = np.flatnonzero(mixed % np.uint64(MASK) == 0)
-    return found if len(found) or not n else np.array([seed % n])
+    return np.flatnonzero(mixed % np.uint64(rounds) == turn)
+
+
+def examples(keys: list[int], ids: list[bytes], turn: int, rounds: int) -> Iterator[np.ndarray]:
+    """Rows of a masked token and the ids around it, those of many texts together."""
+    held, n = [], 0
+    for key, text in zip(keys, ids, strict=True):
+        found = np.frombuffer(text, dtype="<i2")
+        at = masked(len(found), key, turn, rounds)
+        for some in np.split(at, range(_TOGETHER, len(at), _TOGETHER)):
+            held.append(np.column_stack((found[some], windows(found, some))))
+            n += len(some)
+            if n >= _TOGETHER:
+                yield np.concatenate(held)
+                held, n = [], 0
+    if n:
+        yield np.concatenate(held)
 
 
 class _Known(dict):
@@ -193,7 +209,7 @@ def train(tokens: DataFrame, rounds: int = ROUNDS, rate: float = 0.5, part_bytes
     size = tokens.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(2, -(-size // part_bytes))
     net = Network.fresh()
-    rows = tokens.where("octet_length(windows) > 0").select("key", "windows", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"))
+    rows = tokens.where("octet_length(ids) > 0").select("key", "ids", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"))
     for turn in range(rounds):
         start = sc.broadcast(net.flat())
         step = rate / (1 + turn)
@@ -201,19 +217,19 @@ def train(tokens: DataFrame, rounds: int = ROUNDS, rate: float = 0.5, part_bytes
         def run(batches: Iterator[pa.RecordBatch], start=start, step=step, turn=turn) -> Iterator[pa.RecordBatch]:
             mine, seen, held = Network.of(start.value), 0, []
             for batch in batches:
-                data = np.frombuffer(b"".join(v.as_py() for v in batch.column("windows")), dtype="<i2").reshape(-1, 2 * SPAN + 1).astype(np.int64)
-                data = data[np.random.default_rng(turn).permutation(len(data))]
-                for at in range(0, len(data), BATCH):
-                    some = data[at : at + BATCH]
-                    mine.step(some[:, 1:], some[:, 0], step)
-                seen += len(data)
+                for data in examples(batch.column("key").to_pylist(), batch.column("ids").to_pylist(), turn, rounds):
+                    data = data[np.random.default_rng(turn).permutation(len(data))]
+                    for at in range(0, len(data), BATCH):
+                        some = data[at : at + BATCH].astype(np.int64)
+                        mine.step(some[:, 1:], some[:, 0], step)
+                    seen += len(data)
             if seen:
                 delta = (mine.flat() - start.value) * seen
                 for at in range(0, len(delta), 4096):
                     held.append((at // 4096, delta[at : at + 4096].tolist(), seen))
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int32()), pa.array([h[1] for h in held], pa.list_(pa.float32())), pa.array([h[2] for h in held], pa.int64())], names=["slice", "delta", "seen"])
 
-        deltas = rows.repartition(parts, "part").sortWithinPartitions("key").select("windows").mapInArrow(run, "slice int, delta array<float>, seen bigint")
+        deltas = rows.repartition(parts, "part").sortWithinPartitions("key").select("key", "ids").mapInArrow(run, "slice int, delta array<float>, seen bigint")
         summed = deltas.select("slice", "seen", F.posexplode("delta").alias("at", "d")).groupBy("slice", "at").agg(F.sum(F.col("d").cast("double")).alias("d"), F.sum("seen").alias("n"))
         moved = summed.toArrow()
         flat = net.flat()
@@ -224,26 +240,23 @@ def train(tokens: DataFrame, rounds: int = ROUNDS, rate: float = 0.5, part_bytes
 
 
 def tokenized(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """doc_id, key, n_bytes, ids and windows (int16) of every row: all token ids; of the masked ones the token, then the ids around it."""
+    """doc_id, key, n_bytes and ids (int16) of every row."""
     shared_words = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids(shared_words.value)
         for batch in batches:
-            keys, sizes, whole, packed = [], [], [], []
+            keys, sizes, whole = [], [], []
             for text in batch.column("_text").cast(pa.binary()):
                 text = text.as_py()
-                found = ids(text)
                 keys.append(xxhash.xxh64_intdigest(text, 5) >> 1)
                 sizes.append(len(text))
-                whole.append(found.tobytes())
-                at = masked(len(found), keys[-1])
-                packed.append(np.column_stack((found[at], windows(found, at))).tobytes() if len(at) else b"")
-            columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "key", "n_bytes", "ids", "windows"])
+                whole.append(ids(text).tobytes())
+            columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "key", "n_bytes", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("_text"))
-    return rows.mapInArrow(run, "doc_id bigint, key bigint, n_bytes bigint, ids binary, windows binary")
+    return rows.mapInArrow(run, "doc_id bigint, key bigint, n_bytes bigint, ids binary")
 
 
 def score(tokens: DataFrame, net: Network) -> DataFrame:

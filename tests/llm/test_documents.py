@@ -435,6 +435,18 @@ def test_language_model_is_a_distribution_and_learns(docs, rows, empty, sample):
     assert lm.pseudo_likelihood(empty).count() == 0
 
 
+def test_language_model_trains_on_every_token():
+    texts = [np.arange(n, dtype="<i2") for n in (0, 1, 5, 400, 4000)]
+    for rounds in (1, 2, 3):
+        seen = Counter()
+        for turn in range(rounds):
+            for data in lm.examples([3, 9, 1 << 62, 77, 5], [t.tobytes() for t in texts], turn, rounds):
+                seen.update(data[:, 0].tolist())
+                middle = data[(data[:, 1] != lm._EDGE) & (data[:, 2] != lm._EDGE)]
+                assert (middle[:, 2] == middle[:, 0] - 1).all() and (middle[:, 1] == middle[:, 0] - 2).all()
+        assert seen == Counter(i for t in texts for i in t.tolist())
+
+
 def test_language_model_gradient():
     """The step goes along the numeric gradient."""
     rng = np.random.default_rng(1)
