@@ -203,13 +203,18 @@ def vocabulary(docs: DataFrame) -> list[bytes]:
     return [r["word"].encode() for r in top.collect()]
 
 
+def dealt(tokens: DataFrame, parts: int) -> DataFrame:
+    """key, doc_id, ids and the part that trains on the row: by text and id, so that copies of one text are spread."""
+    return tokens.select("key", "doc_id", "ids", F.pmod(F.xxhash64("key", "doc_id"), F.lit(parts)).alias("part"))
+
+
 def train(tokens: DataFrame, rounds: int = ROUNDS, rate: float = 0.5, part_bytes: int = 32 << 20) -> Network:
     """Averaged descent over all of tokens (see tokenized); part_bytes: text for one copy of the weights."""
     sc = tokens.sparkSession.sparkContext
     size = tokens.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(2, -(-size // part_bytes))
     net = Network.fresh()
-    rows = tokens.where("octet_length(ids) > 0").select("key", "ids", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"))
+    rows = dealt(tokens.where("octet_length(ids) > 0"), parts)
     for turn in range(rounds):
         start = sc.broadcast(net.flat())
         step = rate / (1 + turn)
@@ -229,7 +234,7 @@ def train(tokens: DataFrame, rounds: int = ROUNDS, rate: float = 0.5, part_bytes
                     held.append((at // 4096, delta[at : at + 4096].tolist(), seen))
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int32()), pa.array([h[1] for h in held], pa.list_(pa.float32())), pa.array([h[2] for h in held], pa.int64())], names=["slice", "delta", "seen"])
 
-        deltas = rows.repartition(parts, "part").sortWithinPartitions("key").select("key", "ids").mapInArrow(run, "slice int, delta array<float>, seen bigint")
+        deltas = rows.repartition(parts, "part").sortWithinPartitions("key", "doc_id").select("key", "ids").mapInArrow(run, "slice int, delta array<float>, seen bigint")
         summed = deltas.select("slice", "seen", F.posexplode("delta").alias("at", "d")).groupBy("slice", "at").agg(F.sum(F.col("d").cast("double")).alias("d"), F.sum("seen").alias("n"))
         moved = summed.toArrow()
         flat = net.flat()

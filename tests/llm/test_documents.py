@@ -447,6 +447,12 @@ def test_language_model_trains_on_every_token():
         assert seen == Counter(i for t in texts for i in t.tolist())
 
 
+def test_language_model_deals_copies_to_all_parts(spark):
+    tokens = spark.createDataFrame([(i, 7, bytearray(b"ab")) for i in range(400)], "doc_id bigint, key bigint, ids binary")
+    parts = Counter(r.part for r in lm.dealt(tokens, 4).collect())
+    assert len(parts) == 4 and max(parts.values()) < 150
+
+
 def test_language_model_gradient():
     """The step goes along the numeric gradient."""
     rng = np.random.default_rng(1)
