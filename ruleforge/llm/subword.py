@@ -15,7 +15,7 @@ training saw one class); equal texts have equal scores; labels of ids without a
 out, of several labels of one id the greatest holds; an empty table gives an empty result; further columns are not read.
 
 Training sees a bounded sample: for each class the `per_class` labelled documents of the least hashed id, with at
-most `words` distinct words of each counted (the most frequent, ties by bytes). Scores cover whole texts.
+most `words` different words of each (those of the least hash, ties by bytes). Scores cover whole texts.
 """
 
 from __future__ import annotations
