@@ -20,11 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that the session has set.
+
+    Where neither is set: a temporary folder if driver and executors are one process, else one in the home of the
+    default file system; an error where that is a machine's own disk.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="ruleforge-")
-        spark.sparkContext.setCheckpointDir(named)
+        if context.master.split("[")[0] == "local":
+            named = "file://" + tempfile.mkdtemp(prefix="ruleforge-")
+        else:
+            home = context._jvm.org.apache.hadoop.fs.FileSystem.get(context._jsc.hadoopConfiguration()).getHomeDirectory()
+            if home.toUri().getScheme() == "file":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = f"{home}/.ruleforge-{uuid.uuid4().hex}"
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 

@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps over staged edge tables."""
+"""Connected components by alternating large-star and small-star steps, each over a written edge table."""
 
 from __future__ import annotations
 
@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: links neighbours of each node (those above it, or those below and itself) to the least around it.
+def _to_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (a, b) with b linked to m, the least around a. A plain shuffle join, of which Spark splits a hot node."""
+    return edges.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Links the neighbours above each node to the least of its neighbours and itself. edges: a > b.
 
     A node's neighbours are never gathered: the least one is a grouped minimum, joined back to the edges.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    if large:
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        near = both.where("b > a")
-        return near.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    down = both.where("b < a")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return _to_least(both.where("b > a"), least).where("a <> b").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Links the neighbours below each node, and the node itself, to the least of them. edges: a > b."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    return _to_least(edges, least).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -29,10 +34,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = None
     while True:
-        now = staged(_stars(_stars(now, True), False), name)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        if seen == mark or not seen[0]:
             break
         mark = seen
+        now = staged(_small_star(staged(_large_star(now), name)), name)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

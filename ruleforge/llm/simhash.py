@@ -7,8 +7,10 @@ segment as it is with the other's keys (no bit in one, two in the other), either
 and every candidate is verified; each pair within distance 4 meets under one key at least.
 
 Documents fold to distinct fingerprints first. Near copies in thousands would meet in all pairs, so a first round
-links fingerprints to a few hubs under the nearest-codeword keys; the full round then only takes pairs from
-different components of the first. Links found are a spanning set: components are exact, nothing is capped.
+links fingerprints to a few hubs under the nearest-codeword keys; the full round then only compares fingerprints from
+different components of the first. Where a component has HOT rows or more under a key, its rows lie on a side of
+their own that the component's own queries don't read: rows under a hot key meet those of other components only.
+Links found are a spanning set: components are exact, nothing is capped.
 
 Defined cases: null texts are empty; a text without words has fingerprint 0, linked like any other; one to three
 words make one shingle; a null id has no part in the least id (component_id is null if there is no other); repeated
@@ -33,6 +35,8 @@ SHINGLE = 4
 DISTANCE = 4
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Rows of one component under one key from which they get a side of their own.
+HOT = 64
 _PIECE = 1 << 15
 
 
@@ -127,10 +131,27 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     hubs = hubs.where("size(hubs) > 1").select("key", F.explode("hubs").alias("fp"))
     first = near.alias("l").join(hubs.alias("r"), (F.col("l.key") == F.col("r.key")) & close & (F.col("l.fp") != F.col("r.fp")))
     prints = _labelled(prints, first.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")), "simhash-hubs")
-    full = _keyed(prints, "index").alias("l").join(_keyed(prints, "query").alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & close)
+    homes = _homes(prints)
+    left, right = _sided(_keyed(prints, "index"), homes, False).alias("l"), _sided(_keyed(prints, "query"), homes, True).alias("r")
+    full = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & close)
     return _labelled(prints, full.select(F.col("l.comp").alias("a"), F.col("r.comp").alias("b")), "simhash-links")
 
 
+def _homes(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """key, home: for each key under which a component has `hot` index rows or more, the component with most."""
+    large = prints.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot).select("comp")
+    held = _keyed(prints.join(large, "comp", "left_semi"), "index").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot)
+    return staged(held.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("home")), "simhash-homes")
+
+
+def _sided(rows: DataFrame, homes: DataFrame, query: bool) -> DataFrame:
+    """rows with the key's side in the key: index rows of a home are on side 1, others on side 0; queries read side 0, and those from elsewhere side 1 of keys with a home."""
+    rows = rows.join(homes, "key", "left")
+    own = F.col("comp") == F.col("home")
+    side = F.explode(F.when(own | F.col("home").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))) if query else F.when(own, 1).otherwise(0)
+    return rows.select("key", "fp", "comp", side.alias("side")).select((F.col("key") * 2 + F.col("side")).alias("key"), "fp", "comp")
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, fp, told), staged, and for each fingerprint (_fp) its comp and component_id, staged."""
     rows = staged(fingerprints(docs, id_col, text_col), "simhash-rows")

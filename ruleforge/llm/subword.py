@@ -1,6 +1,6 @@
 """Supervised subword embeddings: averaged vectors of hashed words and character n-grams under a softmax.
 
-A word gives its own hashed feature and those of the character n-grams of <word>. A document's vector is the mean
+A word (A-Z lower-cased) gives its own hashed feature and those of the character n-grams of <word>. A document's vector is the mean
 of the features' vectors of its different words, with NEUTRAL zero vectors among them so that a few words don't
 decide alone; a linear softmax over it gives the class. (Repeats are left out: one line repeated a thousand times
 would otherwise drown the rest.) Vectors and softmax are trained
@@ -10,18 +10,21 @@ As the softmax is linear, a trained model scores a document from one number a wo
 of vector times class difference. Workers keep those numbers in a bounded dictionary and compute missing ones for a
 whole batch at once.
 
-Defined cases: null and empty texts and texts of white space only score the bias alone (0.5, or the prior where
-training saw one class); equal texts have equal scores; labels of ids without a document and null labels are left
-out, of several labels of one id the greatest holds; an empty table gives an empty result; further columns are not read.
+Defined cases: null and empty texts and texts of white space only say nothing by words; they all score the share of
+class 1 among such texts of the sample, smoothed with two texts at the share among all labels. Equal texts have equal
+scores; labels of ids without a document and null labels are left out, of several labels of one id the greatest holds;
+of several rows of one id the sample has the text of the least hash; where training saw one class every score is the
+smoothed share of class 1; an empty table gives an empty result; further columns are not read.
 
-Training sees a bounded sample: for each class the `per_class` labelled documents of the least hashed id, with at
-most `words` different words of each (those of the least hash, ties by bytes). Scores cover whole texts.
+Training sees a bounded sample: for each class the `per_class` labelled documents of the least hashed id, whole texts.
+It runs in one task of an executor, which can be run again anywhere and gives the same model; the driver gets the
+weights, one number a feature. It takes `steps` steps whatever the size of the sample. Scores cover whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import astuple, dataclass
 from itertools import islice
 from operator import eq
 
@@ -40,6 +43,8 @@ NEUTRAL = 150
 _CACHE = 400_000
 _TOGETHER = 256
 _PART = 20_000
+#: Words of a document from which its features are summed in parts.
+_LONG = 5_000
 _MUL = np.uint32(0x9E3779B1)
 #: The token read for a word that repeats the one before.
 REPEAT = b"\x00="
@@ -76,17 +81,18 @@ def features(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
 
 
 def tokens(text: bytes) -> tuple[set[bytes], int]:
-    """The different words of a text, and how many of its words repeat the one before."""
-    words = text.split()
+    """The different words of a text, A-Z lower-cased, and how many of its words repeat the one before."""
+    words = text.lower().split()
     return set(words), sum(map(eq, words, islice(words, 1, None)))
 
 
 @dataclass
 class SubwordModel:
-    """weight: for each feature its vector times the difference of the class rows; scale and bias of the logit."""
+    """weight: for each feature its vector times the difference of the class rows; bias of the logit; blank: the score of texts without words."""
 
     weight: np.ndarray
     bias: float
+    blank: float
 
     def word_values(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each word the sum of its features' weights, and their number."""
@@ -112,37 +118,47 @@ class SubwordModel:
                 value.update(zip(part, sums.tolist()))
                 number.update(zip(part, counts.tolist()))
             # sorted: a sum of floats must not depend on the order of a set
-            return [(sum(sorted(map(value.__getitem__, words))) + n * again) / (NEUTRAL + sum(map(number.__getitem__, words)) + n * parts) for words, n in zip(sets, repeats)]
+            return [(sum(sorted(map(value.__getitem__, words))) + n * again) / (NEUTRAL + sum(map(number.__getitem__, words)) + n * parts) if words else np.nan for words, n in zip(sets, repeats)]
 
         def score(texts: Iterable[bytes]) -> np.ndarray:
             texts, out = iter(texts), []
             while part := list(islice(texts, _TOGETHER)):
                 out += some(part)
-            logit = np.clip(np.array(out, dtype=np.float64) + self.bias, -500, 500)
-            return 1 / (1 + np.exp(-logit))
+            logit = np.array(out, dtype=np.float64)
+            found = 1 / (1 + np.exp(-np.clip(logit + self.bias, -500, 500)))
+            return np.where(np.isnan(logit), self.blank, found)
 
         return score
 
 
-def bag(text: bytes, most: int) -> tuple[list[bytes], int]:
-    """The different words of a text, those of the least hash if there are more than most; and its repeats."""
-    words, repeats = tokens(text)
-    return sorted(words, key=lambda w: (xxhash.xxh64_intdigest(w, 2), w))[:most], repeats
+def _document(at: np.ndarray, times: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a document's words (places in starts and counts) and their shares of the mean."""
+    n = counts[at]
+    flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[at], n)
+    if len(at) < _LONG:
+        uniq, back = np.unique(ids[flat], return_inverse=True)
+        return uniq.astype(np.int32), np.bincount(back, weights=np.repeat(times, n), minlength=len(uniq))
+    found = np.bincount(ids[flat], weights=np.repeat(times, n), minlength=buckets)
+    uniq = np.flatnonzero(found)
+    return uniq.astype(np.int32), found[uniq]
 
 
-def train(bags: Iterable[tuple[list[bytes], int]], labels: np.ndarray, prior: float, buckets: int = BUCKETS, dim: int = 8, epochs: int = 5, rate: float = 0.1, scale: float = 50.0, decay: float = 1e-6, seed: int = 7) -> SubwordModel:
-    """Fits the model. labels: 0 or 1; prior: share of class 1 among all labelled rows.
+def train(bags: Iterable[tuple[Iterable[bytes], int]], labels: Sequence[int], prior: float, buckets: int = BUCKETS, dim: int = 8, steps: int = 20_000, rate: float = 0.1, scale: float = 50.0, decay: float = 1e-6, seed: int = 7) -> SubwordModel:
+    """Fits the model. bags: the tokens of each text; labels: 0 or 1 for each, read after the bags; prior: share of class 1 among all labelled rows.
 
     The scores hold for classes that are equally frequent, so that the rare class is found as well as the other.
     With one class or none in the sample every score is the prior.
     """
     prior = min(max(prior, 1e-3), 1 - 1e-3)
+    # words become numbers as they come, and features are made a part at a time: few texts are held at once
+    spot: dict[bytes, int] = {REPEAT: 0}
+    held = [(np.fromiter((spot.setdefault(w, len(spot)) for w in b), dtype=np.int32), repeats) for b, repeats in bags]
+    labels = np.array(labels, dtype=np.int64)
+    blanks = labels[[not len(b) for b, _ in held]] if held else labels
+    blank = (int(blanks.sum()) + 2 * prior) / (len(blanks) + 2)
     if len(set(labels.tolist())) < 2:
-        return SubwordModel(np.zeros(buckets, dtype=np.float32), float(np.log(prior / (1 - prior))))
+        return SubwordModel(np.zeros(buckets, dtype=np.float32), float(np.log(prior / (1 - prior))), blank)
     rng = np.random.default_rng(seed)
-    # words become numbers as they come, and features are made a part at a time: the driver holds few texts at once
-    spot: dict[bytes, int] = {REPEAT: 0}
-    held = [(np.fromiter((spot.setdefault(w, len(spot)) for w in b), dtype=np.int32, count=len(b)), repeats) for b, repeats in bags]
     words = list(spot)
     del spot
     parts = [features(words[at : at + _PART], buckets) for at in range(0, len(words), _PART)]
@@ -151,13 +167,16 @@ def train(bags: Iterable[tuple[list[bytes], int]], labels: np.ndarray, prior: fl
     starts = np.cumsum(counts) - counts
     docs: list[tuple[np.ndarray, np.ndarray]] = []
     for b, repeats in held:
-        at = np.append(b, 0) if repeats else b
-        n = counts[at]
-        times = np.ones(len(at)) if not repeats else np.concatenate((np.ones(len(b)), [repeats]))
-        flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[at], n)
-        uniq, back = np.unique(ids[flat], return_inverse=True)
-        part = np.bincount(back, weights=np.repeat(times, n), minlength=len(uniq)) / (NEUTRAL + (n * times).sum())
-        docs.append((uniq.astype(np.int32), part.astype(np.float32)))
+        at, times = (np.append(b, 0), np.append(np.ones(len(b)), repeats)) if repeats else (b, np.ones(len(b)))
+        uniq = np.zeros(0, dtype=np.int32)
+        if len(at):
+            pieces = [_document(at[i : i + _PART], times[i : i + _PART], ids, starts, counts, buckets) for i in range(0, len(at), _PART)]
+            uniq, part = pieces[0]
+            if len(pieces) > 1:
+                whole = sum(np.bincount(u, weights=p, minlength=buckets) for u, p in pieces)
+                uniq = np.flatnonzero(whole).astype(np.int32)
+                part = whole[uniq]
+        docs.append((uniq, (part / (NEUTRAL + part.sum())).astype(np.float32)) if len(uniq) else (uniq, np.zeros(0, dtype=np.float32)))
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     vectors_sq = np.full((buckets, 1), 1e-6, dtype=np.float32)
     rows = rng.uniform(-1, 1, (2, dim)).astype(np.float32)
@@ -165,10 +184,12 @@ def train(bags: Iterable[tuple[list[bytes], int]], labels: np.ndarray, prior: fl
     share = float(labels.mean())
     bias = np.log(np.array([1 - share, share], dtype=np.float32))
     touched = np.zeros(buckets, dtype=bool)
-    for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
-        for i in rng.permutation(len(docs)):
+    done = 0
+    while done < steps:
+        for i in rng.permutation(len(docs))[: steps - done]:
             at, part = docs[i]
+            step = rate * (1 - done / steps)
+            done += 1
             if not len(at):
                 continue
             vec = vectors[at]
@@ -188,7 +209,7 @@ def train(bags: Iterable[tuple[list[bytes], int]], labels: np.ndarray, prior: fl
             touched[at] = True
     weight = scale * (vectors @ (rows[1] - rows[0]))
     weight[~touched] = 0  # features that training never met say nothing
-    return SubwordModel(weight.astype(np.float32), 0.0)
+    return SubwordModel(weight.astype(np.float32), 0.0, blank)
 
 
 def labelled(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
@@ -202,7 +223,7 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 2000, words: int = 2000, **settings) -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 2000, **settings) -> SubwordModel:
     """Trains on a bounded sample of the labelled documents; labels of learning rows only."""
     known = labelled(labels, label).join(docs.select(F.col("doc_id").cast("bigint").alias("_id")).distinct(), "_id", "left_semi")
     shares = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -210,23 +231,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 2000, w
     for c in (0, 1):
         part = known.where(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         some = part if some is None else some.unionByName(part)
+    total = sum(shares.values())
+    prior = shares.get(1, 0) / total if total else 0.5
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [bag(t.as_py(), words) for t in batch.column("_text").cast(pa.binary())]
-            columns = [pa.array([b" ".join(b) for b, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), *columns], names=["_id", "_label", "bag", "repeats"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks: list[int] = []
+
+        def bags() -> Iterator[tuple[set[bytes], int]]:
+            for batch in batches:
+                for text, mark in zip(batch.column("_text").cast(pa.binary()), batch.column("_label").to_pylist(), strict=True):
+                    marks.append(mark)
+                    yield tokens(text.as_py())
 
+        model = train(bags(), marks, prior, **settings)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.blank])], names=["weight", "bias", "blank"])
+
+    # some has 2 * per_class rows at most, and so have the texts: one for each id
     texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), text_of().alias("_text")).join(F.broadcast(some), "_id")
-    found = texts.mapInArrow(bags, "_id bigint, _label int, bag binary, repeats bigint").toArrow().sort_by([("_id", "ascending"), ("bag", "ascending")])
-    unpacked = ((b.as_py().split(), n.as_py()) for b, n in zip(found.column("bag"), found.column("repeats"), strict=True))
-    total = sum(shares.values())
-    return train(unpacked, np.array(found.column("_label").to_pylist(), dtype=np.int64), shares.get(1, 0) / total if total else 0.5, **settings)
+    texts = texts.groupBy("_id").agg(F.min_by(F.struct("_text", "_label"), F.xxhash64("_text")).alias("_one")).select("_id", "_one.*")
+    made = texts.repartition(1).sortWithinPartitions("_id").mapInArrow(run, "weight binary, bias double, blank double").first()
+    if made is None:
+        return train([], [], prior, **settings)
+    return SubwordModel(np.frombuffer(made["weight"], dtype=np.float32), made["bias"], made["blank"])
 
 
 def score_documents(docs: DataFrame, model: SubwordModel, threshold: float) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = SubwordModel(*shared.value).scorer()
@@ -246,7 +277,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, threshold: float, *
 def accepted(docs: DataFrame, labels: DataFrame, label: str, threshold: float, **settings) -> DataFrame:
     """The rows of docs that score at the threshold or above, with all their columns and in no shuffle."""
     model = fit(docs, labels, label, **settings)
-    shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = SubwordModel(*shared.value).scorer()

@@ -258,6 +258,18 @@ def test_gear_cuts_follow_content():
     assert all(y - x <= media.MOST for x, y in zip([0, *a], a)) and a[-1] == len(whole)
 
 
+def test_rows_of_a_hot_key_meet_those_of_other_components_only(spark):
+    """Under a key with many rows of one component, each other component's row meets all, and those rows not one another."""
+    prints = spark.createDataFrame([(i, 1) for i in range(200)] + [(1000, 2), (1001, 3)], "fp bigint, comp bigint")
+    keyed = prints.selectExpr("7 AS key", "fp", "comp").unionByName(prints.selectExpr("fp AS key", "fp", "comp"))
+    homes = spark.createDataFrame([(7, 1)], "key bigint, home bigint")
+    left, right = simhash._sided(keyed, homes, False), simhash._sided(keyed, homes, True)
+    met = [(r[0], r[1]) for r in left.alias("l").join(right.alias("r"), "key").selectExpr("l.fp", "r.fp").collect()]
+    comp = {r.fp: r.comp for r in prints.collect()}
+    under = {(a, b) for a in comp for b in comp if comp[a] != comp[b]}
+    assert under <= set(met) and len(met) < 1500
+
+
 def test_missing_chunk_fails(docs):
     lists = media.chunk_lists(docs)
     with pytest.raises(Exception):  # noqa: B017
@@ -395,11 +407,42 @@ def test_classifier_defined_cases(spark, docs, rows, empty):
     by_id = {r.doc_id: r for r in found}
     assert by_id[0].score == by_id[40].score, "equal texts, equal scores"
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
+    blank = {by_id[r[0]].score for r in rows if r[0] is not None and not (r[1] or "").split()}
+    assert len(blank) == 1 and 0 < blank.pop() < 1, "texts without words score alike"
     assert {r.score for r in subword.classify(docs, labels, "toxic", 0.5).collect()} != set(), "labels all null"
     assert subword.classify(empty, labels, "quality", 0.3).count() == 0
     assert subword.accepted(docs, labels, "quality", 0.0).count() == len(rows)
 
 
+def test_texts_without_words_score_by_their_share():
+    given = [(["bad", f"w{i}"], 0) for i in range(30)] + [(["fine", f"v{i}"], 0) for i in range(170)]
+    pack = lambda bags: [([w.encode() for w in b], n) for b, n in bags]
+    rare = subword.train(pack(given), [1] * 30 + [0] * 170, 0.15)
+    assert abs(rare.scorer()([b""])[0] - 0.15) < 1e-9 and rare.scorer()([b" \n"])[0] == rare.scorer()([b""])[0]
+    seen = subword.train(pack([*given, *[([], 0)] * 38]), [1] * 30 + [0] * 170 + [1] * 38, 0.3)
+    assert seen.scorer()([b""])[0] == (38 + 0.6) / 40
+
+
+def test_training_reads_whole_texts_and_one_row_of_an_id(spark):
+    """The only telling word is the last of 30000; rows of one id count once."""
+    rng = random.Random(1)
+    filler = words(rng, 30_000)
+    texts = [(i, (filler if i < 8 else words(rng, 20)) + (" worthless" if i % 2 else " splendid")) for i in range(60)]
+    docs = spark.createDataFrame(texts + [(3, words(rng, 5))] * 50, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    model = subword.fit(docs, labels, "quality")
+    bad, good = model.scorer()([b"worthless", b"splendid"])
+    assert bad > 0.5 > good
+
+
+def test_toxicity_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    found = subword.classify(docs.join(labels.where("toxic IS NOT NULL").select("doc_id"), "doc_id", "left_semi"), labels, "toxic", 0.5).join(labels, "doc_id").where("held_out").toPandas()
+    toxic, clean = found[found.toxic == 1], found[found.toxic == 0]
+    assert toxic.predicted.mean() > 0.7 and clean.predicted.mean() < 0.05
+
+
 def test_misspellings_share_vectors():
     rng = random.Random(2)
     bags, labels = [], []
