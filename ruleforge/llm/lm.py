@@ -2,15 +2,16 @@
 
 The vocabulary is counted over all documents: the VOCABULARY - OTHERS most frequent words (ties by bytes) have ids of
 their own, the rest share OTHERS hashed ids. The network embeds SPAN tokens on each side of a masked one, each side
-and distance with its own part of the hidden layer, and gives the token in two softmax steps: its class (ids fall
-into classes of SIDE by frequency) and its place in the class; their product is a proper distribution over all ids.
+and distance with its own part of the hidden layer, and gives the token in LEVELS softmax steps down a tree of the ids
+by frequency, each among SIDE branches; their product is a proper distribution over all ids.
 
 Training covers every token of all documents: the positions of a document fall by hash into as many parts as there are
 rounds, and each round masks another part, so that every token is predicted once.
-Rows are dealt to as many partitions as the corpus needs; each runs numpy stochastic gradient descent from the same
-start over its own, and the weights are averaged, weighted by tokens, for ROUNDS rounds. What is gathered (counts, a
-set of weights for each partition, combined by key in Spark) thus grows with the corpus; what the driver gets is one
-set of weights. A document's score is the sum of the log-probabilities of all its tokens, given all others nearby.
+Rows are dealt to as many partitions as the corpus needs, about PART_BYTES of text to each; each runs numpy stochastic
+gradient descent (AdaGrad) from the same start over its own rows, and weights and squares are averaged, weighted by
+tokens, for ROUNDS rounds. What is gathered (counts, a set of weights for each partition, summed by slices of the
+weights in Spark) thus grows with the corpus; what the driver gets is one set of weights. A document's score is the sum
+of the log-probabilities of all its tokens, given all others nearby.
 
 Defined cases: null texts are empty; a text without words has no tokens, score 0 and no mean (null); places beyond
 the ends of a text hold a mark of their own; repeated rows score alike; an empty corpus gives the untrained network
@@ -19,6 +20,7 @@ and an empty result; further columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,33 +30,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, text_of
+from .common import staged, text_of
 
-SIDE = 64
-VOCABULARY = SIDE * SIDE
+BITS, LEVELS = 4, 3
+SIDE = 1 << BITS
+VOCABULARY = SIDE**LEVELS
 OTHERS = 512
 SPAN = 2
 WIDTH = 16
 HIDDEN = 32
 ROUNDS = 2
-BATCH = 256
+BATCH = 4096
+RATE = 0.1
+PART_BYTES = 32 << 20
 _EDGE = VOCABULARY
 _CACHE = 300_000
-_BLOCK = 2048
 _TOGETHER = 100_000
-_SHAPES = {"embed": (VOCABULARY + 1, WIDTH), "mix": (2 * SPAN * WIDTH, HIDDEN), "shift": (HIDDEN,), "group": (HIDDEN, SIDE), "group_shift": (SIDE,), "place": (SIDE, HIDDEN, SIDE), "place_shift": (SIDE, SIDE)}
+_SLICE = 4096
+_WEIGHTS = {"embed": (VOCABULARY + 1, WIDTH), "mix": (2 * SPAN * WIDTH, HIDDEN), "shift": (HIDDEN,)} | {f"tree{n}": (SIDE**n, SIDE, HIDDEN + 1) for n in range(LEVELS)}
+#: Sums of squared gradients, by which AdaGrad divides: one for each embedded token, else one a weight.
+_SHAPES = _WEIGHTS | {f"{k}_squares": (s[0], 1) if k == "embed" else s for k, s in _WEIGHTS.items()}
 
 
 @dataclass
 class Network:
-    """The weights by name."""
+    """The weights, and the sums of their squared gradients, by name."""
 
     weights: dict[str, np.ndarray]
 
     @classmethod
     def fresh(cls, seed: int = 11) -> Network:
         rng = np.random.default_rng(seed)
-        return cls({k: (rng.normal(0, 0.1, s) if not k.endswith("shift") else np.zeros(s)).astype(np.float32) for k, s in _SHAPES.items()})
+        made = {k: np.full(s, 1e-8) if k.endswith("squares") else rng.normal(0, 0.1, s) if k != "shift" else np.zeros(s) for k, s in _SHAPES.items()}
+        for n in range(LEVELS):
+            made[f"tree{n}"][:, :, HIDDEN] = 0
+        return cls({k: v.astype(np.float32) for k, v in made.items()})
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.weights[k].ravel() for k in _SHAPES])
@@ -68,78 +78,76 @@ class Network:
             at += n
         return cls(out)
 
-    def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs by row, and hidden values by column with a last row of ones."""
         w = self.weights
         x = w["embed"][around].reshape(len(around), -1)
-        return x, np.tanh(x @ w["mix"] + w["shift"])
-
-    def _places(self, h: np.ndarray, ends: list[int]) -> np.ndarray:
-        """Logits of the places in the class; rows are sorted by class, ends are those of the classes."""
-        w, z, start = self.weights, np.empty((len(h), SIDE), dtype=np.float32), 0
-        for g, end in enumerate(ends):
-            if end > start:
-                np.matmul(h[start:end], w["place"][g], out=z[start:end])
-                z[start:end] += w["place_shift"][g]
-            start = end
-        return z
+        h = np.ones((HIDDEN + 1, len(around)), dtype=x.dtype)
+        np.tanh(w["mix"].T @ x.T + w["shift"][:, None], out=h[:HIDDEN])
+        return x, h
+
+    def _branches(self, h: np.ndarray, tokens: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Logits of the branches below each token's node of a level, by column; the branch it takes; (node, from, to) of the runs. tokens ascend."""
+        node = tokens >> (BITS * (LEVELS - level))
+        starts = np.concatenate(([0], np.flatnonzero(node[1:] != node[:-1]) + 1))
+        runs = list(zip(node[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(tokens)], strict=True))
+        z, tree = np.empty((SIDE, len(tokens)), dtype=h.dtype), self.weights[f"tree{level}"]
+        for n, a, b in runs:
+            np.matmul(tree[n], h[:, a:b], out=z[:, a:b])
+        z -= z.max(axis=0)
+        return z, (tokens >> (BITS * (LEVELS - 1 - level))) & (SIDE - 1), runs
 
     def log_probabilities(self, around: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Of each token, given the 2 * SPAN around it."""
-        w = self.weights
-        _, h = self.hidden(around)
-        group, place = tokens // SIDE, tokens % SIDE
-        order = np.argsort(group, kind="stable")
-        h, group, place = h[order], group[order], place[order]
-        found = _picked(h @ w["group"] + w["group_shift"], group)
-        found += _picked(self._places(h, np.cumsum(np.bincount(group, minlength=SIDE)).tolist()), place)
+        order = np.argsort(tokens, kind="stable")
+        around, tokens = around[order], tokens[order]
+        _, h = self._hidden(around)
+        found, at = np.zeros(len(tokens), dtype=np.float32), np.arange(len(tokens))
+        for level in range(LEVELS):
+            z, branch, _ = self._branches(h, tokens, level)
+            found += z[branch, at]
+            found -= np.log(np.exp(z, out=z).sum(axis=0))
         out = np.empty_like(found)
         out[order] = found
         return out
 
-    def step(self, around: np.ndarray, tokens: np.ndarray, rate: float) -> None:
-        """One descent step on a batch."""
-        w, n = self.weights, len(tokens)
+    def gradients(self, around: np.ndarray, tokens: np.ndarray) -> dict[str, tuple[np.ndarray | slice, np.ndarray]]:
+        """By name the rows concerned and the gradient of the mean of minus the log-probability."""
+        w, out = self.weights, {}
         order = np.argsort(tokens, kind="stable")
         around, tokens = around[order], tokens[order]
-        x, h = self.hidden(around)
-        rows, group, place = np.arange(n), tokens // SIDE, tokens % SIDE
-        ends = np.cumsum(np.bincount(group, minlength=SIDE)).tolist()
-        p = np.exp(_log_softmax(h @ w["group"] + w["group_shift"]))
-        p[rows, group] -= 1
-        q = np.exp(_log_softmax(self._places(h, ends)))
-        q[rows, place] -= 1
-        to_h = p @ w["group"].T
-        w["group"] -= rate / n * (h.T @ p)
-        w["group_shift"] -= rate / n * p.sum(axis=0)
-        start = 0
-        for g, end in enumerate(ends):
-            if end > start:
-                mine = q[start:end]
-                to_h[start:end] += mine @ w["place"][g].T
-                w["place"][g] -= rate / n * (h[start:end].T @ mine)
-                w["place_shift"][g] -= rate / n * mine.sum(axis=0)
-            start = end
-        to_sum = to_h * (1 - h * h)
-        to_x = (to_sum @ w["mix"].T).reshape(-1, WIDTH)
-        w["mix"] -= rate / n * (x.T @ to_sum)
-        w["shift"] -= rate / n * to_sum.sum(axis=0)
+        x, h = self._hidden(around)
+        to_h, at = np.zeros_like(h), np.arange(len(tokens))
+        for level in range(LEVELS):
+            z, branch, runs = self._branches(h, tokens, level)
+            tree = w[f"tree{level}"]
+            np.exp(z, out=z)
+            z /= z.sum(axis=0)
+            z[branch, at] -= 1
+            z *= z.dtype.type(1 / len(tokens))
+            grad = np.empty((len(runs), SIDE, HIDDEN + 1), dtype=z.dtype)
+            for k, (n, a, b) in enumerate(runs):
+                mine = z[:, a:b]
+                to_h[:, a:b] += tree[n].T @ mine
+                np.matmul(mine, h[:, a:b].T, out=grad[k])
+            out[f"tree{level}"] = np.array([n for n, _, _ in runs]), grad
+        to_sum = to_h[:HIDDEN] * (1 - h[:HIDDEN] * h[:HIDDEN])
+        to_x = (to_sum.T @ w["mix"].T).reshape(-1, WIDTH)
+        out["mix"], out["shift"] = (slice(None), x.T @ to_sum.T), (slice(None), to_sum.sum(axis=1))
         order = np.argsort(around, axis=None, kind="stable")
         ids = around.ravel()[order]
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        w["embed"][ids[first]] -= rate / n * np.add.reduceat(to_x[order], first)
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
+        out["embed"] = ids[first], np.add.reduceat(to_x[order], first)
+        return out
 
-def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The entry `at` of each row of the log-softmax of z."""
-    top = z.max(axis=1)
-    picked = z[np.arange(len(z)), at] - top
-    z -= top[:, None]
-    return picked - np.log(np.exp(z, out=z).sum(axis=1))
+    def step(self, around: np.ndarray, tokens: np.ndarray, rate: float = RATE) -> None:
+        """One AdaGrad step on a batch."""
+        for name, (at, grad) in self.gradients(around, tokens).items():
+            squares = self.weights[f"{name}_squares"]
+            square = grad * grad
+            found = squares[at] + (square.mean(axis=1, keepdims=True) if name == "embed" else square)
+            squares[at] = found
+            self.weights[name][at] -= rate * grad / np.sqrt(found)
 
 
 def windows(ids: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
@@ -193,53 +201,81 @@ class Ids:
         words = text.split()
         if len(self.known) > _CACHE:
             self.known = _Known(self.own)
-        return np.array(list(map(self.known.__getitem__, words)), dtype="<i2")
+        return np.fromiter(map(self.known.__getitem__, words), dtype="<i2", count=len(words))
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter[bytes] = Counter()
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        counts.clear()
+        return out
+
+    for batch in batches:
+        for text in batch.column("_text").cast(pa.binary()):
+            counts.update(text.as_py().split())
+            if len(counts) > _CACHE:
+                yield flush()
+    yield flush()
 
 
 def vocabulary(docs: DataFrame) -> list[bytes]:
     """The most frequent words of all documents, as many as have ids of their own, the most frequent first."""
-    words = docs.select(F.explode(F.regexp_extract_all(text_of(), F.lit(f"({WORD})"))).alias("word"))
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY - OTHERS)
-    return [r["word"].encode() for r in top.collect()]
+    words = docs.select(text_of().alias("_text")).mapInArrow(_word_counts, "word binary, n bigint")
+    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY - OTHERS)
+    return [bytes(r["word"]) for r in top.collect()]
 
 
 def dealt(tokens: DataFrame, parts: int) -> DataFrame:
-    """key, doc_id, ids and the part that trains on the row: by text and id, so that copies of one text are spread."""
-    return tokens.select("key", "doc_id", "ids", F.pmod(F.xxhash64("key", "doc_id"), F.lit(parts)).alias("part"))
+    """key, doc_id and ids in as many partitions, by text and id, so that copies of one text are spread."""
+    return tokens.select("key", "doc_id", "ids").repartition(parts, F.xxhash64("key", "doc_id")).sortWithinPartitions("key", "doc_id")
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows of each slice; the slices of one set of weights at most are held."""
+    sums: dict[int, tuple[np.ndarray, int]] = {}
+    for batch in batches:
+        for k, delta, seen in zip(batch.column("slice").to_pylist(), batch.column("delta"), batch.column("seen").to_pylist(), strict=True):
+            mine, n = sums.get(k, (0.0, 0))
+            sums[k] = mine + np.frombuffer(delta.as_py()), n + seen
+    yield _slices(sums)
+
+
+def _slices(sums: dict[int, tuple[np.ndarray, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([d.tobytes() for d, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], names=["slice", "delta", "seen"])
 
 
-def train(tokens: DataFrame, rounds: int = ROUNDS, rate: float = 0.5, part_bytes: int = 32 << 20) -> Network:
+def train(tokens: DataFrame, rounds: int = ROUNDS, rate: float = RATE, part_bytes: int = PART_BYTES) -> Network:
     """Averaged descent over all of tokens (see tokenized); part_bytes: text for one copy of the weights."""
     sc = tokens.sparkSession.sparkContext
     size = tokens.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(2, -(-size // part_bytes))
     net = Network.fresh()
-    rows = dealt(tokens.where("octet_length(ids) > 0"), parts)
+    schema = "slice int, delta binary, seen bigint"
     for turn in range(rounds):
         start = sc.broadcast(net.flat())
-        step = rate / (1 + turn)
 
-        def run(batches: Iterator[pa.RecordBatch], start=start, step=step, turn=turn) -> Iterator[pa.RecordBatch]:
-            mine, seen, held = Network.of(start.value), 0, []
+        def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
+            mine, seen = Network.of(start.value), 0
             for batch in batches:
                 for data in examples(batch.column("key").to_pylist(), batch.column("ids").to_pylist(), turn, rounds):
                     data = data[np.random.default_rng(turn).permutation(len(data))]
                     for at in range(0, len(data), BATCH):
-                        some = data[at : at + BATCH].astype(np.int64)
-                        mine.step(some[:, 1:], some[:, 0], step)
+                        mine.step(data[at : at + BATCH, 1:], data[at : at + BATCH, 0], rate)
                     seen += len(data)
             if seen:
-                delta = (mine.flat() - start.value) * seen
-                for at in range(0, len(delta), 4096):
-                    held.append((at // 4096, delta[at : at + 4096].tolist(), seen))
-                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int32()), pa.array([h[1] for h in held], pa.list_(pa.float32())), pa.array([h[2] for h in held], pa.int64())], names=["slice", "delta", "seen"])
-
-        deltas = rows.repartition(parts, "part").sortWithinPartitions("key", "doc_id").select("key", "ids").mapInArrow(run, "slice int, delta array<float>, seen bigint")
-        summed = deltas.select("slice", "seen", F.posexplode("delta").alias("at", "d")).groupBy("slice", "at").agg(F.sum(F.col("d").cast("double")).alias("d"), F.sum("seen").alias("n"))
-        moved = summed.toArrow()
+                delta = (mine.flat().astype(np.float64) - start.value) * seen
+                yield _slices({at // _SLICE: (delta[at : at + _SLICE], seen) for at in range(0, len(delta), _SLICE)})
+
+        deltas = dealt(tokens.where("octet_length(ids) > 0"), parts).select("key", "ids").mapInArrow(run, schema)
+        # first within groups of parts, so that a slice of very many parts is no single task's work
+        some = deltas.repartition(max(1, parts // 64), F.spark_partition_id()).mapInArrow(_added, schema)
+        moved = some.repartition("slice").mapInArrow(_added, schema).toArrow()
+        start.unpersist()
         flat = net.flat()
-        if moved.num_rows:
-            flat[moved.column("slice").to_numpy() * 4096 + moved.column("at").to_numpy()] += moved.column("d").to_numpy() / moved.column("n").to_numpy()
+        for k, delta, seen in zip(*(moved.column(c).to_pylist() for c in ("slice", "delta", "seen")), strict=True):
+            flat[k * _SLICE : (k + 1) * _SLICE] += np.frombuffer(delta) / seen
         net = Network.of(flat)
     return net
 
@@ -276,8 +312,8 @@ def score(tokens: DataFrame, net: Network) -> DataFrame:
 
             def flush(found=found, sizes=sizes, sums=sums) -> None:
                 if found:
-                    around, ids = np.concatenate([windows(f) for f in found]), np.concatenate(found).astype(np.int64)
-                    got = np.concatenate([mine.log_probabilities(around[i : i + _BLOCK], ids[i : i + _BLOCK]) for i in range(0, len(ids), _BLOCK)]) if len(ids) else np.zeros(0, dtype=np.float32)
+                    around, ids = np.concatenate([windows(f) for f in found]), np.concatenate(found)
+                    got = np.concatenate([mine.log_probabilities(around[i : i + BATCH], ids[i : i + BATCH]) for i in range(0, len(ids), BATCH)]) if len(ids) else np.zeros(0, dtype=np.float32)
                     at = 0
                     for f in found:
                         sums.append(float(got[at : at + len(f)].sum(dtype=np.float64)))

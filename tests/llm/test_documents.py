@@ -468,7 +468,7 @@ def test_language_model_is_a_distribution_and_learns(docs, rows, empty, sample):
     a, t = rng.integers(0, 50, (256, 4)), rng.integers(0, 50, 256)
     before = net.log_probabilities(a, t).mean()
     for _ in range(40):
-        net.step(a, t, 0.5)
+        net.step(a, t)
     assert net.log_probabilities(a, t).mean() > before + 1
     found = lm.pseudo_likelihood(docs).collect()
     assert Counter(r.doc_id for r in found) == Counter(r[0] for r in rows)
@@ -492,23 +492,68 @@ def test_language_model_trains_on_every_token():
 
 def test_language_model_deals_copies_to_all_parts(spark):
     tokens = spark.createDataFrame([(i, 7, bytearray(b"ab")) for i in range(400)], "doc_id bigint, key bigint, ids binary")
-    parts = Counter(r.part for r in lm.dealt(tokens, 4).collect())
-    assert len(parts) == 4 and max(parts.values()) < 150
+    parts = [len(p) for p in lm.dealt(tokens, 4).rdd.glom().collect()]
+    assert len(parts) == 4 and max(parts) < 150
 
 
 def test_language_model_gradient():
-    """The step goes along the numeric gradient."""
+    """Gradients against numeric ones."""
     rng = np.random.default_rng(1)
     around, tokens = rng.integers(0, 200, (16, 4)), rng.integers(0, 200, 16)
-    net = lm.Network.fresh()
-    start = {k: v.astype(np.float64) for k, v in net.weights.items()}
-    net.weights = {k: v.copy() for k, v in start.items()}
-    net.step(around, tokens, 1e-3)
+    start = {k: v.astype(np.float64) for k, v in lm.Network.fresh().weights.items()}
     loss = lambda w: -lm.Network(w).log_probabilities(around, tokens).astype(np.float64).mean()
-    for name, at in (("mix", (3, 4)), ("embed", (int(around[0, 0]), 2)), ("group", (5, int(tokens[0]) // 64)), ("shift", (1,))):
+    found = lm.Network(start).gradients(around, tokens)
+    for name, at in (("mix", (3, 4)), ("embed", (int(around[0, 0]), 2)), ("tree0", (0, 1, 7)), ("tree1", (0, int(tokens[0]) // 16, lm.HIDDEN)), ("tree2", (int(tokens[0]) // 16, int(tokens[0]) % 16, 5)), ("shift", (1,))):
         up = {k: v.copy() for k, v in start.items()}
         down = {k: v.copy() for k, v in start.items()}
         up[name][at] += 1e-3
         down[name][at] -= 1e-3
+        whole = np.zeros_like(start[name])
+        rows_, grad = found[name]
+        whole[rows_] = grad
         slope = (loss(up) - loss(down)) / 2e-3
-        assert abs((start[name][at] - net.weights[name][at]) / 1e-3 - slope) < 2e-3 + 0.05 * abs(slope)
+        assert abs(whole[at] - slope) < 1e-3 + 0.05 * abs(slope), name
+
+
+def test_language_model_scores_against_a_slow_version(spark, docs, rows):
+    """Vocabulary, ids, windows and sums of log-probabilities recomputed word by word."""
+    count = Counter(w for r in rows for w in (r[1] or "").encode().split())
+    known = sorted(count, key=lambda w: (-count[w], w))[: lm.VOCABULARY - lm.OTHERS]
+    assert lm.vocabulary(docs) == known
+    net = lm.Network.fresh(5)
+    own = {w: i for i, w in enumerate(known)}
+    number = lambda w: own[w] if w in own else lm.VOCABULARY - lm.OTHERS + xxhash.xxh64_intdigest(w, 3) % lm.OTHERS
+    w = net.weights
+
+    def slow(text):
+        ids = [lm._EDGE] * 2 + [number(x) for x in text.encode().split()] + [lm._EDGE] * 2
+        total = 0.0
+        for i in range(2, len(ids) - 2):
+            x = np.concatenate([w["embed"][ids[i + d]] for d in (-2, -1, 1, 2)])
+            h = np.append(np.tanh(x @ w["mix"] + w["shift"]), 1.0)
+            for level in range(lm.LEVELS):
+                z = w[f"tree{level}"][ids[i] // 16 ** (3 - level)] @ h
+                total += z[ids[i] // 16 ** (2 - level) % 16] - np.log(np.exp(z).sum())
+        return total
+
+    short = [r for r in rows if len(r[1] or "") < 2000]
+    texts = {r[0]: r[1] or "" for r in short}
+    for r in lm.score(lm.tokenized(docs, known), net).collect():
+        if r.doc_id in texts and (r.doc_id is not None):
+            assert abs(r.score - slow(texts[r.doc_id])) < 1e-3 * max(1, r.n_tokens)
+
+
+def test_language_model_averages_by_tokens(spark):
+    """One round over two parts is the mean of two networks trained apart, weighted by their tokens."""
+    rng = np.random.default_rng(4)
+    given = [(int(i), i, 100, bytearray(rng.integers(0, 60, int(rng.integers(20, 90)), dtype="<i2").tobytes())) for i in range(30)]
+    tokens = spark.createDataFrame(given, "key bigint, doc_id bigint, n_bytes bigint, ids binary")
+    found = lm.train(tokens, rounds=1).flat()
+    start, total, seen = lm.Network.fresh().flat().astype(np.float64), 0.0, 0
+    for part in lm.dealt(tokens, 2).rdd.glom().collect():
+        net = lm.Network.fresh()
+        data = np.concatenate(list(lm.examples([r.key for r in part], [bytes(r.ids) for r in part], 0, 1)))
+        data = data[np.random.default_rng(0).permutation(len(data))]
+        net.step(data[:, 1:], data[:, 0])
+        total, seen = total + (net.flat() - start) * len(data), seen + len(data)
+    assert np.abs(found - (start + total / seen)).max() < 1e-4
