@@ -8,8 +8,8 @@ by frequency, each among SIDE branches; their product is a proper distribution o
 Training covers every token of all documents: the positions of a document fall by hash into as many parts as there are
 rounds, and each round masks another part, so that every token is predicted once.
 Rows are dealt to as many partitions as the corpus needs, about PART_BYTES of text to each; each runs numpy stochastic
-gradient descent (AdaGrad) from the same start over its own rows, and weights and squares are averaged, weighted by
-tokens, for ROUNDS rounds. What is gathered (counts, a set of weights for each partition, summed by slices of the
+gradient descent (AdaGrad) from the same start over its own rows, and the changes of weights and squares (as bfloat16)
+are averaged, weighted by tokens, for ROUNDS rounds. What is gathered (counts, a set of weights for each partition, summed by slices of the
 weights in Spark) thus grows with the corpus; what the driver gets is one set of weights. A document's score is the sum
 of the log-probabilities of all its tokens, given all others nearby.
 
@@ -47,6 +47,7 @@ _EDGE = VOCABULARY
 _CACHE = 300_000
 _TOGETHER = 100_000
 _SLICE = 4096
+_GROUPS = 64
 _WEIGHTS = {"embed": (VOCABULARY + 1, WIDTH), "mix": (2 * SPAN * WIDTH, HIDDEN), "shift": (HIDDEN,)} | {f"tree{n}": (SIDE**n, SIDE, HIDDEN + 1) for n in range(LEVELS)}
 #: Sums of squared gradients, by which AdaGrad divides: one for each embedded token, else one a weight.
 _SHAPES = _WEIGHTS | {f"{k}_squares": (s[0], 1) if k == "embed" else s for k, s in _WEIGHTS.items()}
@@ -221,10 +222,18 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(docs: DataFrame) -> list[bytes]:
-    """The most frequent words of all documents, as many as have ids of their own, the most frequent first."""
-    words = docs.select(text_of().alias("_text")).mapInArrow(_word_counts, "word binary, n bigint")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY - OTHERS)
-    return [bytes(r["word"]) for r in top.collect()]
+    """The most frequent words of all documents, as many as have ids of their own, the most frequent first.
+
+    Words that occur once are most of all and rarely in; of the others a small table of counts by powers of two says
+    from which power on there are enough, so that the driver gets no top list of every partition.
+    """
+    most = VOCABULARY - OTHERS
+    counts = docs.select(text_of().alias("_text")).mapInArrow(_word_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    again = staged(counts.where("n > 1"), "lm-words")
+    powers = sorted(((r["power"], r["words"]) for r in again.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    enough = [power for i, (power, _) in enumerate(powers) if sum(n for _, n in powers[: i + 1]) >= most]
+    some = again.where(F.floor(F.log2("n")) >= enough[0]) if enough else counts
+    return [bytes(r["word"]) for r in some.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def dealt(tokens: DataFrame, parts: int) -> DataFrame:
@@ -232,18 +241,29 @@ def dealt(tokens: DataFrame, parts: int) -> DataFrame:
     return tokens.select("key", "doc_id", "ids").repartition(parts, F.xxhash64("key", "doc_id")).sortWithinPartitions("key", "doc_id")
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers as bfloat16: the upper half of a float32, rounded."""
+    bits = values.astype(np.float32).view(np.uint32)
+    return ((bits + 0x7FFF + ((bits >> 16) & 1)) >> 16).astype("<u2").tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return (np.frombuffer(packed, dtype="<u2").astype(np.uint32) << 16).view(np.float32)
+
+
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the rows of each slice; the slices of one set of weights at most are held."""
+    """Means of the rows of each slice, weighted by what they have seen; the slices of one set of weights at most are held."""
     sums: dict[int, tuple[np.ndarray, int]] = {}
     for batch in batches:
         for k, delta, seen in zip(batch.column("slice").to_pylist(), batch.column("delta"), batch.column("seen").to_pylist(), strict=True):
             mine, n = sums.get(k, (0.0, 0))
-            sums[k] = mine + np.frombuffer(delta.as_py()), n + seen
-    yield _slices(sums)
+            sums[k] = mine + _unpacked(delta.as_py()).astype(np.float64) * seen, n + seen
+    yield _slices({k: (total / n, n) for k, (total, n) in sums.items()}, 0)
 
 
-def _slices(sums: dict[int, tuple[np.ndarray, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([d.tobytes() for d, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], names=["slice", "delta", "seen"])
+def _slices(means: dict[int, tuple[np.ndarray, int]], part: int) -> pa.RecordBatch:
+    columns = [pa.array(list(means), pa.int32()), pa.array([_packed(d) for d, _ in means.values()], pa.binary()), pa.array([n for _, n in means.values()], pa.int64()), pa.array([part] * len(means), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["slice", "delta", "seen", "part"])
 
 
 def train(tokens: DataFrame, rounds: int = ROUNDS, rate: float = RATE, part_bytes: int = PART_BYTES) -> Network:
@@ -252,30 +272,31 @@ def train(tokens: DataFrame, rounds: int = ROUNDS, rate: float = RATE, part_byte
     size = tokens.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(2, -(-size // part_bytes))
     net = Network.fresh()
-    schema = "slice int, delta binary, seen bigint"
+    schema = "slice int, delta binary, seen bigint, part bigint"
     for turn in range(rounds):
         start = sc.broadcast(net.flat())
 
         def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
-            mine, seen = Network.of(start.value), 0
+            mine, seen, first = Network.of(start.value), 0, 0
             for batch in batches:
+                first = first or (batch.column("key")[0].as_py() if batch.num_rows else 0)
                 for data in examples(batch.column("key").to_pylist(), batch.column("ids").to_pylist(), turn, rounds):
                     data = data[np.random.default_rng(turn).permutation(len(data))]
                     for at in range(0, len(data), BATCH):
                         mine.step(data[at : at + BATCH, 1:], data[at : at + BATCH, 0], rate)
                     seen += len(data)
             if seen:
-                delta = (mine.flat().astype(np.float64) - start.value) * seen
-                yield _slices({at // _SLICE: (delta[at : at + _SLICE], seen) for at in range(0, len(delta), _SLICE)})
+                delta = mine.flat() - start.value
+                yield _slices({at // _SLICE: (delta[at : at + _SLICE], seen) for at in range(0, len(delta), _SLICE)}, first)
 
         deltas = dealt(tokens.where("octet_length(ids) > 0"), parts).select("key", "ids").mapInArrow(run, schema)
-        # first within groups of parts, so that a slice of very many parts is no single task's work
-        some = deltas.repartition(max(1, parts // 64), F.spark_partition_id()).mapInArrow(_added, schema)
+        # first in groups of parts, so that a slice of very many parts is no single task's work
+        some = deltas.repartition("slice", F.pmod("part", F.lit(_GROUPS))).mapInArrow(_added, schema)
         moved = some.repartition("slice").mapInArrow(_added, schema).toArrow()
         start.unpersist()
         flat = net.flat()
-        for k, delta, seen in zip(*(moved.column(c).to_pylist() for c in ("slice", "delta", "seen")), strict=True):
-            flat[k * _SLICE : (k + 1) * _SLICE] += np.frombuffer(delta) / seen
+        for k, delta in zip(moved.column("slice").to_pylist(), moved.column("delta").to_pylist(), strict=True):
+            flat[k * _SLICE : (k + 1) * _SLICE] += _unpacked(delta)
         net = Network.of(flat)
     return net
 
