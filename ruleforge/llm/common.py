@@ -39,14 +39,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and is computed once. Goes when the JVM ends."""
+def staged(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage and is computed once. Goes when the JVM ends.
+
+    release: the driver collects its garbage, on which Spark removes the shuffle files that the table came from.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    if release:
+        spark.range(1).write.format("noop").mode("overwrite").save()  # Spark holds the last job's plan until the next one
+        jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

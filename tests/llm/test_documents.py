@@ -561,3 +561,20 @@ def test_language_model_averages_by_tokens(spark):
         total, seen = total + (net.flat() - start) * len(data), seen + len(data)
     mean = total / seen
     assert np.abs(found - (start + mean)).max() < 1e-4 + np.abs(mean).max() / 100
+
+
+def test_links_against_brute_force(spark):
+    """Every row of a seed of several classes has its two links, a hot seed among them."""
+    rng = random.Random(3)
+    given = sorted({(rng.choice([5, 5, 5, rng.randrange(60)]), rng.randrange(6), at) for at in range(150)} | {(9, 4, 500 + i) for i in range(20)})
+    out = {(r.seed, r.cls, r.at): r.links for r in passages._linked(spark.createDataFrame(given, "seed bigint, cls bigint, at int"), ["seed"], "links").collect()}
+    for seed, cls, at in given:
+        group = [(c, p) for s, c, p in given if s == seed]
+        others = [x for x in group if x[0] != cls]
+        before = next((x for x in reversed(group[: group.index((cls, at))])), None)
+        if not others:
+            assert out[seed, cls, at] is None
+        else:
+            one, two = out[seed, cls, at]
+            assert (one.cls, one.at) == others[0]
+            assert (tuple(two) if two else None) == (before if before and before[0] != cls else None)
