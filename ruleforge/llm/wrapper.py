@@ -1,27 +1,30 @@
 """HTML main text by wrapper induction over the pages of a host.
 
-First pass: the DOM trees of a host's pages are aligned by simple tree matching with a pilot page of the same host
-in the same task, and for each matched node with equal text a count goes to (host, path, text hash). The sums over
-all tasks say which nodes are constant: those with the same text on SHARE of the host's pages or more, SUPPORT at
-least. They are the host's template. Second pass: a page's blocks that are in the template, or whose elements say by
-name or role that they are navigation, notices, adverts, forms, comments and so on, go; the varying slots are the
-content. Where a page names its content (article, main), that subtree is the slot: matching doesn't descend into it
-and text that articles of a host share stays in them.
-
-Counts are summed on the map side and by key, so a hot host is no hot task; a host's template is a few rows.
+First pass: the DOM trees of a host's pages are aligned by simple tree matching with the host's pilot, its page of the
+least id. Nodes that match with equal text are counted by (host, path, text hash); those with the same text on SHARE
+of the host's different pages or more (NAMED where an article or main element holds them), SUPPORT at least, are the
+host's template. What varies is summed for every container: the place that holds MOST of a host's varying text is its
+content slot. Names and tags only vote: text in elements whose every name says navigation, notice, advert, form,
+comment and so on counts nothing, text in article or main elements FAVOUR times. Second pass: a page's text is what its
+content slot holds, with first-level headings of the page, without template nodes and excluded elements. An element
+that holds most of the varying text is only excluded if all words of a name say so.
+
+Trees travel as small outlines, one page once; copies of a page count once. Counts are summed on the map side and by
+key; a host's template is a few rows.
 
 Defined cases: null html is empty and gives an empty text; pages without a host (null or odd url) share one empty host;
-a host's only page has no constants and is judged by names alone; tags left open end where HTML ends them; a page of
-nothing but excluded parts gives an empty text; repeated rows are pages of their own; an empty table gives an empty
-result; further columns are not read.
+a host's only page has no constants; a page without text in the slot gives what else varies; a named article that is
+constant as a whole stays; tags left open end where HTML ends them; a page of nothing but excluded parts gives an empty
+text; repeated rows are pages of their own; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -31,12 +34,14 @@ from pyspark.sql import functions as F
 from .common import staged, text_of
 
 SHARE = 0.6
+NAMED = 0.9
 SUPPORT = 3
-_PILOTS = 2000
+MOST = 0.9
+FAVOUR = 20
 _FLUSH = 100_000
 _DEPTH = 80
 
-_TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
+_TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>)""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -50,25 +55,32 @@ _BOILER = frozenset(
     "reply replies disqus cookie cookies consent notice notices alert popup modal overlay share sharing social related recommended subscribe subscription newsletter signup login search widget "
     "pagination pager toolbar skip hidden gdpr paywall respond".split()
 )
+#: Words beside which a name still says nothing but what its other words say.
+_PLAIN = frozenset("site page main global top bottom left right list section container wrapper wrap box block inner outer area item items content bar column col row".split())
+_HOLDS = frozenset("#root html body div section article main center form fieldset table tbody tr td".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 _CONTENT = frozenset(("article", "main"))
 
 
 class Node:
-    """An element: its tag, what its names say, and its children (elements and texts)."""
+    """An element: its tag, what its names say, and its children (elements and texts).
+
+    gone: excluded; weak: excluded unless it holds most of the text; kept: named content; sign: tag and names without numbers.
+    """
 
-    __slots__ = ("children", "gone", "kept", "sign", "tag")
+    __slots__ = ("children", "gone", "kept", "sign", "tag", "weak")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.children = tag, []
-        self.gone, self.kept, self.sign = tag in _GONE, tag in _CONTENT, tag
+        self.weak, self.kept, self.sign = False, tag in _CONTENT, tag
+        self.gone = tag in _GONE
         if attributes and "=" in attributes or "hidden" in attributes:
             for name, value in _NAMES.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id"):
-                    self.sign += ("." if name == "class" else "#") + value
-                    if tag not in ("html", "body") and any(w.lower() in _BOILER for w in _WORDS.findall(value)):
-                        self.gone = True
+                    self.sign += ("." if name == "class" else "#") + re.sub(r"[0-9/]+", "_", value)
+                    if tag not in ("html", "body"):
+                        self._named(value)
                 elif name == "role":
                     self.gone |= value.lower() in _BOILER_ROLES
                     self.kept |= value.lower() in _CONTENT
@@ -77,6 +89,13 @@ class Node:
                 elif name == "hidden" or value.lower() == "true":
                     self.gone = True
 
+    def _named(self, value: str) -> None:
+        for name in value.split():
+            words = {w.lower() for w in _WORDS.findall(name)}
+            if words & _BOILER:
+                self.weak = True
+                self.gone |= words <= _BOILER | _PLAIN
+
 
 def parse(page: str) -> Node:
     """The tree of a page; never fails. Elements that HTML ends by itself are ended, open ones end with the page."""
@@ -118,6 +137,9 @@ def parse(page: str) -> Node:
                 elif stack[i].tag in scope:
                     break
         node = Node(name, m[3])
+        if node.kept or name == "h1":
+            for n in stack:  # a form around a page's content is no form of the page
+                n.gone, n.weak = n.gone and n.tag != "form", n.weak or n.tag == "form"
         stack[-1].children.append(node)
         if name in _VOID or m[3].endswith("/") and name not in _BLOCK:
             continue
@@ -136,25 +158,34 @@ def squeeze(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def blocks(root: Node) -> Iterator[tuple[str, str, bool, bool]]:
-    """The blocks of a tree in page order: path, text, whether an excluded element holds it, whether a named content element does."""
-    found: list[tuple[str, str, bool, bool]] = []
+def _numbered(children: Iterable, sign: Callable[[object], str]) -> Iterator[tuple[object, str]]:
+    """Elements with their sign and number among those of the same sign."""
+    seen: dict[str, int] = defaultdict(int)
+    for c in children:
+        name = sign(c)
+        seen[name] += 1
+        yield c, f"{name}:{seen[name]}"
+
+
+def blocks(root: Node, most: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, bool, bool, str]]:
+    """The blocks of a tree in page order: path, text, whether an excluded element holds it, whether a named content element does, place (the path with numbers). most: places that hold most of the text."""
+    found: list[tuple[str, str, bool, bool, str]] = []
     held: list[str] = []
-    # what remains to be done; a pair ends a block under the given path
-    work: list[tuple] = [(root, "", False, False)]
-    state = ("", False, False)
+    # what remains to be done; a state in place of a node ends a block
+    state: tuple = ("", False, False, "")
+    work: list[tuple] = [(root, "#root:1", state)]
 
     def flush() -> None:
         text = squeeze("".join(held))
         held.clear()
         if text:
-            found.append((state[0], text, state[1], state[2]))
+            found.append((state[0], text, *state[1:]))
 
     while work:
-        node, path, gone, kept = work.pop()
+        node, number, over = work.pop()
         if node is None:  # the end of a block or of an excluded inline element
             flush()
-            state = (path, gone, kept)
+            state = over
             continue
         if isinstance(node, str):
             held.append(node)
@@ -163,30 +194,58 @@ def blocks(root: Node) -> Iterator[tuple[str, str, bool, bool]]:
             held.append("" if node.tag == "wbr" else "\n")
             if node.tag == "br":
                 continue
-        here = gone or node.gone or node.tag == "header" and not kept
+        path, gone, kept, place = over
+        here = gone or node.gone or node.tag == "header" and not kept or node.weak and f"{place}/{number}" not in most
         inside = kept or node.kept
         if node.tag in _BLOCK or here != gone or node.tag == "#root":
             flush()
-            work.append((None, *state))
-            path = f"{path}/{node.sign}"
-            state = (path, here, inside)
-        work.extend((c, path, here, inside) for c in reversed(node.children))
+            work.append((None, "", state))
+            state = over = (f"{path}/{node.sign}", here, inside, f"{place}/{number}")
+        else:
+            over = (path, here, inside, place)
+        elements = _numbered((c for c in node.children if isinstance(c, Node) and c.tag in _BLOCK), lambda c: c.sign)
+        numbers = {id(c): n for c, n in elements}
+        work.extend((c, numbers.get(id(c), getattr(c, "sign", "")), over) for c in reversed(node.children))
     flush()
     return iter(found)
 
 
-def _outline(root: Node) -> tuple:
-    """The tree for matching: (sign, path, text hash or 0, children); content elements are leaves without text."""
+def outline(root: Node) -> list:
+    """The tree for matching: [sign, text hash or 0, weight of the text, children]."""
 
-    def make(node: Node, path: str, depth: int) -> tuple:
-        path = f"{path}/{node.sign}"
-        if node.kept or node.tag in ("head", "script", "style"):
-            return node.sign, path, 0, ()
+    def make(node: Node, kept: bool, gone: bool, depth: int) -> list:
+        kept, gone = kept or node.kept, gone or node.gone or node.tag == "header" and not kept
+        if node.tag in ("head", "script", "style"):
+            return [node.sign, 0, 0, []]
         own = squeeze("".join(_text(node) if depth >= _DEPTH else _own(node)))
-        children = () if depth >= _DEPTH else tuple(make(c, path, depth + 1) for c in node.children if isinstance(c, Node) and c.tag in _BLOCK)
-        return node.sign, path, xxhash.xxh64_intdigest(own, 0) >> 1 if own else 0, children
+        children = [] if depth >= _DEPTH else [make(c, kept, gone, depth + 1) for c in node.children if isinstance(c, Node) and c.tag in _BLOCK]
+        return [node.sign, xxhash.xxh64_intdigest(own, 0) >> 1 if own else 0, _weight(own, gone, kept), children]
+
+    return make(root, False, False, 0)
+
+
+def _weight(text: str, gone: bool, kept: bool) -> int:
+    return 0 if gone else len(text) * (FAVOUR if kept else 1)
+
 
-    return make(root, "", 0)
+def held_text(tree: list) -> dict[str, int]:
+    """The weight of the text of every container of an outline, by place."""
+    sums: dict[str, int] = defaultdict(int)
+
+    def add(node: list, place: str) -> int:
+        total = node[2] + sum(add(c, f"{place}/{number}") for c, number in _numbered(node[3], lambda c: c[0]))
+        if node[0] == "#root" or re.split("[.#]", node[0], maxsplit=1)[0] in _HOLDS:
+            sums[place] += total
+        return total
+
+    add(tree, "/#root:1")
+    return sums
+
+
+def _placed(tree: list, path: str = "", place: str = "/#root:1") -> tuple:
+    """An outline as nested (sign, path, text hash, children, weight, place)."""
+    path = f"{path}/{tree[0]}"
+    return tree[0], path, tree[1], tuple(_placed(c, path, f"{place}/{n}") for c, n in _numbered(tree[3], lambda c: c[0])), tree[2], place
 
 
 def _own(node: Node) -> Iterator[str]:
@@ -196,7 +255,7 @@ def _own(node: Node) -> Iterator[str]:
         c = work.pop()
         if isinstance(c, str):
             yield c
-        elif c.tag not in _BLOCK and not c.gone:
+        elif c.tag not in _BLOCK and not (c.gone or c.weak):
             yield "\n" if c.tag == "br" else ""
             work.extend(reversed(c.children))
 
@@ -243,28 +302,39 @@ def align(a: tuple, b: tuple) -> tuple[int, list[tuple[tuple, tuple]]]:
     return best[m][n] + 1, [(a, b), *matched]
 
 
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        trees = [json.dumps(outline(parse(page.as_py())), separators=(",", ":")).encode() for page in batch.column("_html")]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page_id"), pa.array(trees, pa.binary()), pa.array([xxhash.xxh64_intdigest(t, 7) >> 1 for t in trees], pa.int64())], names=["host", "page_id", "tree", "print"])
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, path, hash, pages: how often matched nodes had this text; an empty path counts the host's pages."""
-    pilots: dict[str, tuple] = {}
-    sums: dict[tuple[str, str, int], int] = defaultdict(int)
+    """host, path, place, hash, pages, weight: how often matched nodes had this text; an empty path counts the host's pages, hash -1 is what a container holds."""
+    sums: dict[tuple[str, str, str, int], list[int]] = defaultdict(lambda: [0, 0])
+    name, pilot = None, ()
+
+    def put(key: tuple[str, str, str, int], weight: int) -> None:
+        held = sums[key]
+        held[0] += 1
+        held[1] += weight
 
     def flush() -> pa.RecordBatch:
-        keys = list(sums)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array([sums[k] for k in keys], pa.int64())], names=["host", "path", "hash", "pages"])
+        kinds = [pa.string()] * 3 + [pa.int64()] * 3
+        rows = [(*k, *v) for k, v in sums.items()]
+        out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _COUNTS.split(", ")])
         sums.clear()
         return out
 
     for batch in batches:
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("_html"), strict=True):
-            tree = _outline(parse(page.as_py()))
-            pilot = pilots.get(host)
-            if pilot is None:
-                if len(pilots) >= _PILOTS:
-                    pilots.clear()
-                pilot = pilots[host] = tree
-            sums[host, "", 0] += 1
-            for key in {(path, h) for a, (_, path, h, _) in align(pilot, tree)[1] if h and (a[2] == h or pilot is tree)}:
-                sums[host, *key] += 1
+        for host, tree, first in zip(batch.column("host").to_pylist(), batch.column("tree"), batch.column("pilot"), strict=True):
+            if name != (first := first.as_py()):
+                name, pilot = first, _placed(json.loads(first))
+            tree = json.loads(tree.as_py())
+            put((host, "", "", 0), 0)
+            for place, weight in held_text(tree).items():
+                put((host, "", place, -1), weight)
+            for path, h, weight, place in {x[1:3] + x[4:] for a, x in align(pilot, _placed(tree))[1] if x[2] and a[2] == x[2]}:
+                put((host, path, place, h), weight)
             if len(sums) >= _FLUSH:
                 yield flush()
     yield flush()
@@ -275,28 +345,49 @@ def _hosted(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", host.alias("host"), text_of("html").alias("_html"))
 
 
-def templates(pages: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
-    """host, constants: hashes of (path, text) of the nodes that are constant on the host's pages (page_id, url, html)."""
-    sums = _hosted(pages).select("host", "_html").mapInArrow(_counts, "host string, path string, hash bigint, pages bigint").groupBy("host", "path", "hash").agg(F.sum("pages").alias("pages"))
-    sums = staged(sums.where((F.col("path") == "") | (F.col("pages") >= support)), "wrapper-counts")
-    total = sums.where("path = ''").select(F.col("host").alias("_host"), F.col("pages").alias("_all"))
-    constant = sums.where("path <> ''").join(total, F.col("host") == F.col("_host")).where(F.col("pages") >= share * F.col("_all"))
-    return constant.groupBy("host").agg(F.collect_set(F.concat_ws("|", "path", F.col("hash").cast("string"))).alias("constants"))
+_COUNTS = "host string, path string, place string, hash bigint, pages bigint, weight bigint"
 
 
-def main_text(page: str, constants: frozenset[str] = frozenset()) -> str:
-    """The main text of a page: its blocks joined by an empty line."""
-    found = list(blocks(parse(page)))
-    if any(kept and not gone for _, _, gone, kept in found):
-        return "\n\n".join(text for _, text, gone, kept in found if kept and not gone)
-    return "\n\n".join(text for path, text, gone, _ in found if not gone and f"{path.removeprefix('/')}|{xxhash.xxh64_intdigest(text, 0) >> 1}" not in constants)
+def templates(pages: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+    """Per host of pages (page_id, url, html): constants (hashes of path and text of its constant nodes) and most (the places that hold most of what varies)."""
+    trees = _hosted(pages).select("host", "page_id", "_html").mapInArrow(_outlines, "host string, page_id bigint, tree binary, print bigint")
+    trees = staged(trees.groupBy("host", "print").agg(F.min_by("tree", F.struct(F.col("page_id").isNull(), "page_id")).alias("tree"), F.min(F.struct(F.col("page_id").isNull(), "page_id")).alias("first")), "wrapper-outlines")
+    pilots = trees.groupBy("host").agg(F.min_by("tree", F.struct("first", "print")).alias("pilot"))
+    sums = trees.join(pilots, "host").select("host", "tree", "pilot").mapInArrow(_counts, _COUNTS).groupBy("host", "path", "place", "hash").agg(F.sum("pages").alias("pages"), F.sum("weight").alias("weight"))
+    sums = staged(sums, "wrapper-counts")
+    total = sums.where("hash = 0").select("host", F.col("pages").alias("_all"))
+    least = F.when(F.col("path").rlike(r"/(article|main)([.#/]|$)"), max(share, NAMED)).otherwise(share)
+    often = sums.where("hash > 0").groupBy("host", "path", "hash").agg(F.sum("pages").alias("pages"), F.collect_list(F.struct("place", "weight")).alias("_at"))
+    constant = often.where(F.col("pages") >= support).join(total, "host").where(F.col("pages") >= least * F.col("_all")).select("host", "path", "hash", "_at")
+    above = F.expr("transform(sequence(2, size(split(place, '/'))), i -> array_join(slice(split(place, '/'), 1, i), '/'))")
+    less = constant.select("host", F.inline("_at")).select("host", F.explode(above).alias("place"), "weight").groupBy("host", "place").agg(F.sum("weight").alias("_less"))
+    slots = sums.where("hash = -1").join(less, ["host", "place"], "left").select("host", "place", (F.col("weight") - F.coalesce("_less", F.lit(0))).alias("varies"))
+    whole = slots.where("place = '/#root:1'").select("host", F.col("varies").alias("_whole"))
+    most = slots.join(whole, "host").where((F.col("_whole") > 0) & (F.col("varies") >= MOST * F.col("_whole"))).groupBy("host").agg(F.collect_set("place").alias("most"))
+    constants = constant.groupBy("host").agg(F.collect_set(F.concat_ws("|", "path", F.col("hash").cast("string"))).alias("constants"))
+    return total.select("host").join(constants, "host", "left").join(most, "host", "left")
+
+
+def main_text(page: str, constants: frozenset[str] = frozenset(), most: frozenset[str] | None = None) -> str:
+    """The main text of a page: its blocks joined by an empty line. most: as templates gives it; None: this page is its host's only one."""
+    root = parse(page)
+    if most is None:
+        sums = held_text(outline(root))
+        most = frozenset(p for p, n in sums.items() if n and n >= MOST * sums["/#root:1"])
+    slot = max(most, key=len, default="")
+    found = [b for b in blocks(root, most) if not b[2]]
+    fresh = [b for b in found if f"{b[0]}|{xxhash.xxh64_intdigest(b[1], 0) >> 1}" not in constants]
+    inside = lambda place: f"{place}/".startswith(f"{slot}/")
+    if any(inside(b[4]) for b in fresh):
+        out = [b for b in fresh if inside(b[4]) or re.search(r"/h1([.#][^/]*)?$", b[0])]
+    else:
+        out = [b for b in found if b[3]] or fresh
+    return "\n\n".join(b[1] for b in out)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for page, known in zip(batch.column("_html"), batch.column("constants"), strict=True):
-            texts.append(main_text(page.as_py(), frozenset(k.removeprefix("/") for k in known.as_py() or ())))
+        texts = [main_text(page.as_py(), frozenset(known.as_py() or ()), frozenset(most.as_py() or ())) for page, known, most in zip(batch.column("_html"), batch.column("constants"), batch.column("most"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -304,4 +395,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars."""
     known = staged(templates(pages), "wrapper-templates")
     rows = _hosted(pages).join(known.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
-    return rows.select("page_id", "url", "_html", "constants").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.select("page_id", "url", "_html", "constants", "most").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
