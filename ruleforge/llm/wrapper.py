@@ -352,7 +352,8 @@ def templates(pages: DataFrame, share: float = SHARE, support: int = SUPPORT) ->
     """Per host of pages (page_id, url, html): constants (hashes of path and text of its constant nodes) and most (the places that hold most of what varies)."""
     trees = _hosted(pages).select("host", "page_id", "_html").mapInArrow(_outlines, "host string, page_id bigint, tree binary, print bigint")
     trees = staged(trees.groupBy("host", "print").agg(F.min_by("tree", F.struct(F.col("page_id").isNull(), "page_id")).alias("tree"), F.min(F.struct(F.col("page_id").isNull(), "page_id")).alias("first")), "wrapper-outlines")
-    pilots = trees.groupBy("host").agg(F.min_by("tree", F.struct("first", "print")).alias("pilot"))
+    # written, so that Spark broadcasts pilots only if they are few, and else splits what a hot host makes large
+    pilots = staged(trees.groupBy("host").agg(F.min_by("tree", F.struct("first", "print")).alias("pilot")), "wrapper-pilots")
     sums = trees.join(pilots, "host").select("host", "tree", "pilot").mapInArrow(_counts, _COUNTS).groupBy("host", "path", "place", "hash").agg(F.sum("pages").alias("pages"), F.sum("weight").alias("weight"))
     sums = staged(sums, "wrapper-counts")
     total = sums.where("hash = 0").select("host", F.col("pages").alias("_all"))
