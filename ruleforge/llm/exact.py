@@ -53,11 +53,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns: one row for each distinct text."""
-    norm = F.regexp_replace(text_of(text_col), SPACE + "+", "")
-    rows = docs.withColumn("_norm", norm).withColumn("_hash", content_hash(F.col("_norm"))).withColumn("_sha", F.unhex(F.sha2("_norm", 256))).drop("_norm")
+    # the columns of docs travel as one, so that none of theirs can clash with one of ours
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.regexp_replace(text_of(text_col), SPACE + "+", "").alias("_norm"))
+    rows = rows.select("_row", "_id", content_hash(F.col("_norm")).alias("_hash"), F.unhex(F.sha2("_norm", 256)).alias("_sha"))
     best = groups(docs, id_col, text_col).select(F.col("_hash").alias("_h"), F.col("_sha").alias("_s"), F.col("keep_id").alias("_keep"))
-    kept = rows.join(best, (rows["_hash"] == best["_h"]) & (rows["_sha"] == best["_s"]) & rows[id_col].eqNullSafe(best["_keep"]))
-    return kept.dropDuplicates(["_hash", "_sha"]).select(*docs.columns)
+    kept = rows.join(best, (rows["_hash"] == best["_h"]) & (rows["_sha"] == best["_s"]) & rows["_id"].eqNullSafe(best["_keep"]))
+    return kept.dropDuplicates(["_hash", "_sha"]).select("_row.*")
 
 
 ORACLE = r"""

@@ -1,6 +1,7 @@
 """Mixing sources to target weights over fixed-length blocks, in DataFrame and SQL functions only.
 
-The words of each source form a stream, cut into blocks of `block` words. Every output shard draws a multinomial
+The words of each source form a stream, cut into blocks of `block` words; a source of fewer than FINE blocks has blocks
+of a FINE-th of its words (one word at least), so that small sources meet their targets too. Every output shard draws a multinomial
 count for each source, with the block quotas as probabilities; what a source draws beyond its quota goes, in shard
 order, to sources below theirs, so the totals are exact. The n-th slot of a source takes block perm(n mod blocks)
 of pass n div blocks, where perm is a swap-or-not permutation with a key for each source and pass: no block is
@@ -11,7 +12,7 @@ table, which Spark broadcasts only below its size threshold. Stream offsets are
 running totals on two levels with about sqrt(rows) buckets, so a hot source is spread over all tasks.
 
 Defined cases: a null text or one without words has size 0 and takes nothing; a null source is a source of its own,
-the last; a null doc_id comes first in its source; repeated rows are separate rows with offsets of their own; no
+the last; a null doc_id comes first in its bucket, which its text chooses; repeated rows are separate rows with offsets of their own; no
 words at all give targets of 0; extra columns are not read. Every run over the same rows agrees.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import WORD, running_start, staged, text_of
 
 BLOCK = 128
+FINE = 100
 SHARD_SLOTS = 1024
 ROUNDS = 8
 _P = 2147483647
@@ -38,7 +40,7 @@ def _mix(x: str, k: str) -> str:
 
 
 def _bucket(n: str, div: str) -> str:
-    return f"coalesce({_mix('abs(doc_id % 1000003)', f'abs(doc_id {div} 1000003)')}, 0) % {n}"
+    return f"{_mix('abs(coalesce(doc_id, told) % 1000003)', f'abs(coalesce(doc_id, told) {div} 1000003)')} % {n}"
 
 
 def _draw(i: str, total: str, div: str) -> str:
@@ -68,19 +70,19 @@ k AS (SELECT *, CAST(2 * n AS DOUBLE) / weight AS ratio,
 l AS (SELECT *, (CAST(3 * total AS DOUBLE) / 2 - CAST(capped AS DOUBLE)) / CAST(open AS DOUBLE) AS level FROM k),
 f AS (SELECT min(src) AS src, min(level) AS level FROM (SELECT *, row_number() OVER (ORDER BY ratio, src) AS place FROM l WHERE level <= ratio) AS fits WHERE place = 1),
 t AS (SELECT l.source, l.src, l.n, l.docs, l.weight, least(CAST(2 * l.n AS DOUBLE), coalesce((SELECT level FROM f), 0) * l.weight) AS target FROM l),
-b AS (SELECT *, CAST((n + {block} - 1) {div} {block} AS BIGINT) AS blocks, CASE WHEN n = 0 THEN 0 ELSE CAST(floor(target / n) AS BIGINT) END AS passes FROM t)
-SELECT source, src, n, docs, weight, target, blocks, CAST(passes * blocks + floor((target - passes * n) / {block} + 0.5) AS BIGINT) AS quota FROM b
+u AS (SELECT *, CAST(greatest(1, least({block}, n {div} {fine})) AS BIGINT) AS width FROM t),
+b AS (SELECT *, CAST((n + width - 1) {div} width AS BIGINT) AS blocks, CASE WHEN n = 0 THEN 0 ELSE CAST(floor(target / n) AS BIGINT) END AS passes FROM u)
+SELECT source, src, n, docs, weight, target, width, blocks, CAST(passes * blocks + floor((target - passes * n) / width + 0.5) AS BIGINT) AS quota FROM b
 """
 
 
 @dataclass
 class Mix:
-    """rows: doc_id, source, size, src, start (offset in the source's stream); sources: one row a source; slots: shard, src, pass, block."""
+    """rows: doc_id, source, size, src, width (of the source's blocks), start (offset in its stream); sources: one row a source; slots: shard, src, pass, block."""
 
     rows: DataFrame
     sources: DataFrame
     slots: DataFrame
-    block: int
 
     def usage(self) -> DataFrame:
         """src, block, times: how often the mix takes each block."""
@@ -88,9 +90,8 @@ class Mix:
 
     def pieces(self) -> DataFrame:
         """The overlaps of documents with blocks: keys of the row, words from..to of the document, times."""
-        size = self.block
-        spans = self.rows.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {size}, (start + size - 1) div {size})")))
-        spans = spans.withColumn("first", F.expr(f"greatest(start, block * {size}) - start")).withColumn("last", F.expr(f"least(start + size, (block + 1) * {size}) - start"))
+        spans = self.rows.where("size > 0").withColumn("block", F.explode(F.expr("sequence(start div width, (start + size - 1) div width)")))
+        spans = spans.withColumn("first", F.expr("greatest(start, block * width) - start")).withColumn("last", F.expr("least(start + size, (block + 1) * width) - start"))
         return spans.join(self.usage(), ["src", "block"], "left").fillna(0, ["times"])
 
 
@@ -114,22 +115,23 @@ def _search(df: DataFrame, ends: list[int], value: str, out: str) -> DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words) of every row."""
-    return docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("bigint").alias("size"))
+    """doc_id, source, size (words) and told (a number of the text where the id is null) of every row."""
+    told = F.when(F.col("doc_id").isNull(), F.conv(F.substring(F.md5(text_of()), 1, 7), 16, 10).cast("bigint"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.regexp_count(text_of(), F.lit(WORD)).cast("bigint").alias("size"), told.alias("told"))
 
 
 def plan_mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> Mix:
     """Draws the mix of docs (doc_id, text, source)."""
     spark = docs.sparkSession
     counted = staged(sized(docs), "mix-sized")
-    sources = staged(spark.sql(_SOURCES.format(sized="{sized}", block=block, div="div"), sized=counted), "mix-sources")
+    sources = staged(spark.sql(_SOURCES.format(sized="{sized}", block=block, fine=FINE, div="div"), sized=counted), "mix-sources")
     known = sources.orderBy("src").collect()  # one row a source
     rows_in_all = sum(r["docs"] for r in known)
     buckets = max(1, int(ceil_sqrt(rows_in_all)))
 
-    keyed = counted.join(sources.select(F.col("source").alias("_source"), "src"), counted["source"].eqNullSafe(F.col("_source"))).drop("_source")
+    keyed = counted.join(sources.select(F.col("source").alias("_source"), "src", "width"), counted["source"].eqNullSafe(F.col("_source"))).drop("_source")
     keyed = keyed.withColumn("_bucket", F.expr(_bucket(str(buckets), "div")))
-    rows = staged(running_start(keyed, ["src"], "_bucket", [F.asc_nulls_first("doc_id"), "size"], "size", "start").drop("_bucket"), "mix-rows")
+    rows = staged(running_start(keyed, ["src"], "_bucket", [F.asc_nulls_first("doc_id"), "size"], "size", "start").drop("_bucket", "told"), "mix-rows")
 
     quota, total = [r["quota"] for r in known], sum(r["quota"] for r in known)
     ends = [sum(quota[: i + 1]) for i in range(len(quota))]
@@ -158,7 +160,7 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
         slots = staged(slots.select("shard", "src", "n", "pass", F.col("_at").alias("block")), "mix-slots")
     else:
         slots = spark.createDataFrame([], "shard bigint, src bigint, n bigint, pass bigint, block bigint")
-    return Mix(rows, sources, slots, block)
+    return Mix(rows, sources, slots)
 
 
 def ceil_sqrt(n: int) -> int:
@@ -181,8 +183,8 @@ def mix_counts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def mix_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mixed corpus itself: shard, slot of the source (src, n), block, and its text (words joined by one space)."""
     mix = plan_mix(docs, block)
-    words = _worded(docs, mix).withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
-    words = words.select("src", "block", "start", F.expr(f"slice(words, CAST(greatest(start, block * {block}) - start + 1 AS INT), CAST(least(start + size, (block + 1) * {block}) - greatest(start, block * {block}) AS INT))").alias("words"))
+    words = _worded(docs, mix).withColumn("block", F.explode(F.expr("sequence(start div width, (start + size - 1) div width)")))
+    words = words.select("src", "block", "start", F.expr("slice(words, CAST(greatest(start, block * width) - start + 1 AS INT), CAST(least(start + size, (block + 1) * width) - greatest(start, block * width) AS INT))").alias("words"))
     texts = words.groupBy("src", "block").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("parts"))
     texts = texts.select("src", "block", F.array_join(F.flatten("parts.words"), " ").alias("text"))
     return mix.slots.join(texts, ["src", "block"]).select("shard", "src", "n", "block", "text")
@@ -208,25 +210,25 @@ def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     by_size = Window.partitionBy("doc_id", "source").orderBy("size", "start")
     plan = mix.rows.where("size > 0").select("doc_id", "source", "size", *keys, F.row_number().over(by_size).alias("_nth"))
     plan = plan.join(spans.select(*keys, "_spans"), keys).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "_nth", F.col("size").alias("_size"), "_spans")
-    words = F.regexp_count(text_of(), F.lit(WORD)).cast("bigint")
-    rows = docs.withColumn("_words", words).where("_words > 0")
+    # the columns of docs travel as one, so that none of theirs can clash with one of ours
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source", text_of().alias("text"), F.regexp_count(text_of(), F.lit(WORD)).cast("bigint").alias("_words")).where("_words > 0")
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("_words")))
     both = rows.join(plan, rows["doc_id"].eqNullSafe(plan["_id"]) & rows["source"].eqNullSafe(plan["_src"]) & (rows["_n"] == plan["_nth"]))
     both = both.withColumn("_time", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("_mine", F.expr("filter(_spans, s -> s.times >= _time)")).where("size(_mine) > 0")
     whole = F.expr("aggregate(_mine, 0L, (n, s) -> n + s.last - s.first) = _size")
-    parts = F.expr(rf"array_join(flatten(transform(_mine, s -> slice(_all, CAST(s.first AS INT) + 1, CAST(s.last - s.first AS INT)))), ' ')")
-    both = both.withColumn("_all", F.when(~whole, F.regexp_extract_all(text_of(), F.lit(f"({WORD})")))).withColumn("_new", F.when(whole, F.col("text")).otherwise(parts))
-    return both.select(*[F.col("_new").alias(c) if c == "text" else F.char_length("_new").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    parts = F.expr(r"array_join(flatten(transform(_mine, s -> slice(_all, CAST(s.first AS INT) + 1, CAST(s.last - s.first AS INT)))), ' ')")
+    both = both.withColumn("_all", F.when(~whole, F.regexp_extract_all("text", F.lit(f"({WORD})")))).withColumn("_new", F.when(whole, F.col("text")).otherwise(parts))
+    return both.select(*[F.col("_new").alias(c) if c == "text" else F.char_length("_new").cast("bigint").alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def _oracle() -> str:
     keys = f"list_transform(range({ROUNDS}), lambda r: {_key('r', 'blocks', '(src * 3 + pass)')})"
     turn = _round("acc", "k", "blocks", "//")
     return rf"""
-WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
-sources AS ({_SOURCES.format(sized="sized", block=BLOCK, div="//")}),
+WITH sized AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, source, CASE WHEN doc_id IS NULL THEN CAST('0x' || substr(md5(coalesce(text, '')), 1, 7) AS BIGINT) END AS told, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
+sources AS ({_SOURCES.format(sized="sized", block=BLOCK, fine=FINE, div="//")}),
 n AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS buckets FROM sized),
-keyed AS (SELECT doc_id, size, src, {_bucket("buckets", "//")} AS bucket FROM sized JOIN sources ON sized.source IS NOT DISTINCT FROM sources.source, n),
+keyed AS (SELECT doc_id, size, src, width, {_bucket("buckets", "//")} AS bucket FROM sized JOIN sources ON sized.source IS NOT DISTINCT FROM sources.source, n),
 places AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY bucket, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM keyed),
 ends AS (SELECT list(e ORDER BY src) AS cuts, max(e) AS total FROM (SELECT src, CAST(sum(quota) OVER (ORDER BY src) AS BIGINT) AS e FROM sources) AS q),
 drawn AS (SELECT i // {SHARD_SLOTS} AS shard, len(list_filter(cuts, lambda e: e <= {_draw("i", "total", "//")})) AS src, i FROM ends, (SELECT unnest(range(total)) AS i FROM ends) AS r),
@@ -237,8 +239,8 @@ moved AS (SELECT src, have + unnest(range(lack)) AS n FROM lacks),
 slots AS (SELECT x.src, x.n // s.blocks AS pass, x.n % s.blocks AS spot, s.blocks FROM (SELECT src, n FROM own UNION ALL SELECT src, n FROM moved) AS x JOIN sources AS s USING (src)),
 used AS (SELECT src, list_reduce(list_prepend(spot, {keys}), lambda acc, k: {turn}) AS block FROM slots),
 usage AS (SELECT src, block, count(*) AS times FROM used GROUP BY src, block),
-cut AS (SELECT *, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block FROM places WHERE size > 0),
-taken AS (SELECT c.src, c.start, c.doc_id, c.size, CAST(sum((least(c.start + c.size, (c.block + 1) * {BLOCK}) - greatest(c.start, c.block * {BLOCK})) * coalesce(u.times, 0)) AS BIGINT) AS taken
+cut AS (SELECT *, unnest(range(start // width, (start + size - 1) // width + 1)) AS block FROM places WHERE size > 0),
+taken AS (SELECT c.src, c.start, c.doc_id, c.size, CAST(sum((least(c.start + c.size, (c.block + 1) * c.width) - greatest(c.start, c.block * c.width)) * coalesce(u.times, 0)) AS BIGINT) AS taken
   FROM cut AS c LEFT JOIN usage AS u ON c.src = u.src AND c.block = u.block GROUP BY ALL
   UNION ALL SELECT src, start, doc_id, size, 0 FROM places WHERE size = 0)
 SELECT t.doc_id, s.source, t.size, s.n AS source_size, s.target, t.taken FROM taken AS t JOIN sources AS s USING (src)

@@ -175,6 +175,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "told")
     best = rows.join(table, rows["fp"] == table["_fp"]).groupBy("comp").agg(F.min(order).alias("best"))
     stay = best.select(F.col("best.doc_id").alias("_id"), F.col("best.told").alias("_told"))
-    told = docs.withColumn("_mine", F.xxhash64(text_of(text_col)))
-    kept = told.join(stay, told[id_col].eqNullSafe(stay["_id"]) & (told["_mine"] == stay["_told"]))
-    return kept.dropDuplicates(["_id", "_told"]).select(*docs.columns)
+    # the columns of docs travel as one, so that none of theirs can clash with one of ours
+    told = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("bigint").alias("_own"), F.xxhash64(text_of(text_col)).alias("_mine"))
+    kept = told.join(stay, told["_own"].eqNullSafe(stay["_id"]) & (told["_mine"] == stay["_told"]))
+    return kept.dropDuplicates(["_id", "_told"]).select("_row.*")
