@@ -60,13 +60,12 @@ def _keyed(df: DataFrame, rule: Rule, rules: list[Rule], options: Options) -> tu
     for i, r in enumerate(referred):
         name = f"_h{i}"
         if r.correlation is not None:
-            fires = _fires(df, r, rules, options).select(F.col("_us").alias("_fu"), F.col("_seq").alias("_fs"), F.col("group_values").alias(f"_gv{i}"))
+            fires = _fires(df, r, rules, options, []).select(F.col("_us").alias("_fu"), F.col("_seq").alias("_fs"), F.col("group_values").alias(f"_gv{i}")).dropDuplicates(["_fu", "_fs"])
             base = base.join(fires, (base["_us"] == fires["_fu"]) & (base["_seq"] == fires["_fs"]), "left").drop("_fu", "_fs")
             base = base.withColumn(name, F.col(f"_gv{i}").isNotNull())
             made[i] = f"_gv{i}"
         elif is_stateful(r):
-            flags = evaluate(df, r, options).where("match").select(F.col("_us").alias("_fu"), F.col("_seq").alias("_fs"), F.lit(True).alias(name))
-            base = base.join(flags, (base["_us"] == flags["_fu"]) & (base["_seq"] == flags["_fs"]), "left").drop("_fu", "_fs").withColumn(name, F.coalesce(name, F.lit(False)))
+            base = evaluate(base, r, options).drop("search_results", "condition_results").withColumnRenamed("match", name)
         else:
             base = base.withColumn(name, F.coalesce(match_column(df, r, options), F.lit(False)))
         hits.append(name)
@@ -93,8 +92,11 @@ def _keyed(df: DataFrame, rule: Rule, rules: list[Rule], options: Options) -> tu
     return base.withColumns(groups | {"_refs": refs, "_value": value}), list(groups)
 
 
-def _fires(df: DataFrame, rule: Rule, rules: list[Rule], options: Options) -> DataFrame:
-    """_us, _seq and group_values of the events on which a correlation fires. df has _us and _seq."""
+def _fires(df: DataFrame, rule: Rule, rules: list[Rule], options: Options, columns: list[str]) -> DataFrame:
+    """_us, _seq, group_values and the named columns of the events on which a correlation fires. df has _us and _seq.
+
+    An event travels through the fold as it is, so events of one time and number are never taken for one another.
+    """
     c: Correlation = rule.correlation
     keyed, groups = _keyed(df, rule, rules, options)
     kind, span, count, condition = c.type, c.timespan, len(c.rules), c.condition
@@ -102,36 +104,35 @@ def _fires(df: DataFrame, rule: Rule, rules: list[Rule], options: Options) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, fold = object(), None
         for batch in batches:
-            rows = batch.to_pylist()
             out = []
-            for r in rows:
-                key = tuple(r[g] for g in groups)
+            keys = list(zip(*(batch.column(g).to_pylist() for g in groups), strict=True)) if groups else [()] * batch.num_rows
+            rows = zip(keys, batch.column("_us").to_pylist(), batch.column("_refs").to_pylist(), batch.column("_value").to_pylist(), strict=True)
+            for i, (key, us, refs, value) in enumerate(rows):
                 if key != now:
                     now, fold = key, CorrelationFold(kind, span, count, condition)
-                if fold.observe(r["_us"], tuple(r["_refs"]), r["_value"]):
-                    out.append(r)
-            columns = [pa.array([r["_us"] for r in out], pa.int64()), pa.array([r["_seq"] for r in out], pa.int64())]
-            columns += [pa.array([r[g] for r in out], pa.string()) for g in groups]
-            yield pa.RecordBatch.from_arrays(columns, names=["_us", "_seq", *groups])
-
-    narrow = keyed.select("_us", "_seq", *groups, "_refs", "_value")
-    # without group fields there is one bucket, and its order is total
-    dealt = narrow.repartition(*groups) if groups else narrow.coalesce(1)
-    schema = ", ".join(["_us bigint", "_seq bigint", *[f"{g} string" for g in groups]])
-    found = dealt.sortWithinPartitions(*groups, "_us", "_seq").mapInArrow(run, schema)
+                if fold.observe(us, tuple(refs), value):
+                    out.append(i)
+            yield batch.select(["_us", "_seq", *groups, "_event"]).take(pa.array(out, pa.int32()))
+
+    event = F.struct(*[F.col(f"`{n}`") for n in columns]) if columns else F.lit(True)
+    narrow = keyed.select("_us", "_seq", *groups, "_refs", "_value", event.alias("_event"))
+    # without group fields there is one bucket, and its order is total; what comes before stays in parallel
+    dealt = narrow.repartition(*groups) if groups else narrow.repartition(1)
+    shown = dealt.select("_us", "_seq", *groups, "_event").schema
+    found = dealt.sortWithinPartitions(*groups, "_us", "_seq").mapInArrow(run, shown)
     pairs = [x for g, name in zip(groups, c.group_by, strict=True) for x in (F.lit(name), F.col(g))]
     values = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    return found.select("_us", "_seq", values.alias("group_values"))
+    return found.select("_us", "_seq", values.alias("group_values"), *(["_event.*"] if columns else []))
 
 
 def correlate(df: DataFrame, rule: Rule, rules: list[Rule], options: Options | None = None) -> DataFrame:
     """The events on which a correlation fires: the event's columns, rule_id and group_values.
 
-    (time, seq) names an event, so seq must part events of one time.
+    Events go by (time, seq). Where a rule that it refers to is a correlation itself, (time, seq) names the events that
+    fire there; events that share both are then taken for one.
     """
     options = options or Options()
     columns = df.columns
     timed = df.withColumns({"_us": options.micros(df), "_seq": options.order(df)})
-    fires = _fires(timed, rule, rules, options).select(F.col("_us").alias("_fu"), F.col("_seq").alias("_fs"), "group_values")
-    joined = timed.join(fires, (timed["_us"] == fires["_fu"]) & (timed["_seq"] == fires["_fs"]))
-    return joined.select(*[F.col(f"`{c}`") for c in columns], F.lit(rule.key).alias("rule_id"), "group_values")
+    fires = _fires(timed, rule, rules, options, columns)
+    return fires.select(*[F.col(f"`{c}`") for c in columns], F.lit(rule.key).alias("rule_id"), "group_values")

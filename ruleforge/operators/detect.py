@@ -12,11 +12,9 @@ from ruleforge.rules.model import Rule
 
 from .near import add_near
 from .options import Options
-from .search import CompileError, true_or_false
+from .search import CompileError, Compiler, ahocorasick, texts_found, true_or_false
 from .windows import add_aggregate
 
-_PER_SELECT = 100
-
 
 def _timed(df: DataFrame, options: Options) -> DataFrame:
     return df.withColumns({"_us": options.micros(df), "_seq": options.order(df)})
@@ -84,9 +82,24 @@ class Bundle:
     rules: list[Rule]
     options: Options = field(default_factory=Options)
     skipped_rules: dict[str, str] = field(default_factory=dict)
-
-    def _usable(self, df: DataFrame, rules: list[Rule]) -> list[tuple[Rule, Column | None]]:
-        compiler, out = self.options.compiler(df), []
+    #: Texts that rules without state look for in a field from which one automaton finds them all in a pass.
+    needles: int = 64
+
+    def _shared(self, df: DataFrame) -> tuple[DataFrame, Compiler]:
+        """df and a compiler for the rules without state; where a field is searched for many texts, df has a column of those found in one pass."""
+        compiler = self.options.compiler(df)
+        compiler.asked = {}
+        self._usable(df, self.rules, compiler)
+        shared = self.options.compiler(df)
+        for key, (text, needles) in compiler.asked.items():
+            if len(needles) >= self.needles and ahocorasick is not None:
+                name = f"_needles{len(shared.shared)}"
+                df = df.withColumn(name, texts_found(text, sorted(needles)))
+                shared.shared[key] = (name, {n: i for i, n in enumerate(sorted(needles))})
+        return df, shared
+
+    def _usable(self, df: DataFrame, rules: list[Rule], compiler: Compiler | None = None) -> list[tuple[Rule, Column | None]]:
+        compiler, out = compiler or self.options.compiler(df), []
         for r in rules:
             try:
                 searches = compiler.searches(r)
@@ -104,11 +117,12 @@ class Bundle:
     def results(self, df: DataFrame) -> DataFrame:
         """A row for each event and rule that compiles: the event's columns, rule_id, match."""
         columns, parts = df.columns, []
-        usable = self._usable(df, self.rules)
+        wide, compiler = self._shared(df)
+        usable = self._usable(df, self.rules, compiler)
         plain = [(r, true_or_false(m)) for r, m in usable if m is not None]
         if plain:
             found = F.array(*[F.struct(F.lit(r.key).alias("rule_id"), m.alias("match")) for r, m in plain])
-            parts.append(df.select(*[F.col(f"`{c}`") for c in columns], F.explode(found).alias("_r")).select(*[F.col(f"`{c}`") for c in columns], "_r.rule_id", "_r.match"))
+            parts.append(wide.select(*[F.col(f"`{c}`") for c in columns], F.explode(found).alias("_r")).select(*[F.col(f"`{c}`") for c in columns], "_r.rule_id", "_r.match"))
         for r, m in usable:
             if m is None:
                 parts.append(evaluate(df, r, self.options).select(*[F.col(f"`{c}`") for c in columns], F.lit(r.key).alias("rule_id"), "match"))
@@ -121,13 +135,13 @@ class Bundle:
         the rule's own, or on its matches (state then includes the events that they drop).
         """
         columns, parts = df.columns, []
-        usable = self._usable(df, self.rules)
+        wide, compiler = self._shared(df)
+        usable = self._usable(df, self.rules, compiler)
         plain = [(r, m & (before or {})[r.key] if r.key in (before or {}) else m) for r, m in usable if m is not None]
         plain = [(r, m & (after or {})[r.key] if r.key in (after or {}) else m) for r, m in plain]
-        for at in range(0, len(plain), _PER_SELECT):
-            some = plain[at : at + _PER_SELECT]
-            hits = F.array_compact(F.array(*[F.when(m, F.lit(r.key)) for r, m in some]))
-            parts.append(df.select(*[F.col(f"`{c}`") for c in columns], F.explode(hits).alias("rule_id")))
+        if plain:
+            hits = F.array_compact(F.array(*[F.when(m, F.lit(r.key)) for r, m in plain]))
+            parts.append(wide.select(*[F.col(f"`{c}`") for c in columns], F.explode(hits).alias("rule_id")))
         for r, m in usable:
             if m is None:
                 found = _stateful_matches(df, r, self.options)

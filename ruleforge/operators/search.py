@@ -6,11 +6,12 @@ is made false first.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,11 @@ from ruleforge.rules.model import FieldMatcher, Rule, Search
 
 from .fields import Fields, column
 
+try:
+    import ahocorasick
+except ImportError:  # each text is then looked for by itself
+    ahocorasick = None
+
 _FLAGS = {"i": "i", "ignorecase": "i", "m": "m", "multiline": "m", "s": "s", "dotall": "s"}
 _APART = ("exists", "fieldref", "neq", "expand")
 
@@ -44,14 +50,35 @@ def any_of(parts: list[Column]) -> Column:
     return reduce(or_, parts) if parts else F.lit(False)
 
 
+def texts_found(text: Column, needles: list[str]) -> Column:
+    """The places in needles of those that a text holds, by one automaton for all of them."""
+
+    @F.pandas_udf("array<int>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for i, n in enumerate(needles):
+            automaton.add_word(n, i)
+        automaton.make_automaton()
+        for texts in batches:
+            yield texts.map(lambda t: [] if t is None else sorted({i for _, i in automaton.iter(t)}))
+
+    return found(text)
+
+
 @dataclass
 class Compiler:
-    """Compiles the searches of rules against fields. Equal leaves are made once."""
+    """Compiles the searches of rules against fields. Equal leaves are made once.
+
+    asked: if not None, gets for each text column that is searched for plain texts the column and these texts.
+    shared: for such columns the name of a column of found texts (see texts_found) and the texts' places.
+    """
 
     fields: Fields
     expander: Expander | None = None
     case_sensitive: bool = False
     leaves: dict = field(default_factory=dict)
+    asked: dict | None = None
+    shared: dict = field(default_factory=dict)
 
     def search(self, s: Search) -> Column:
         """The column of a search; an empty one holds."""
@@ -114,6 +141,9 @@ class Compiler:
         else:
             tests = [[(lambda v, t=t: COMPARATORS[name](v, t, mode)) for t in candidates(value, chain) if t is not None] for value in values]
         actual = self.fields.values(f.field)
+        if name == "contains" and not (parts_of or by_field):
+            parts = [any_of([self._on(v, flat, parts_of, lambda v, t=t: COMPARATORS[name](v, t, mode)) if flat else self._held(f.field, k, v, t, mode) for t in candidates(value, chain) if t is not None for k, (v, flat) in enumerate(actual)]) for value in values]
+            return all_of(parts) if every else any_of(parts)
         if name == "" and not (chain or parts_of or by_field or every) and len(actual) == 1 and not actual[0][1] and len(values) > 8 and not any(patterns.has_wildcard(x) or x == "null" or not x.isascii() for x in values):
             # many plain texts are one set lookup
             text, texts = actual[0][0].text, [patterns.literal(x) for x in values]
@@ -121,6 +151,19 @@ class Compiler:
         parts = [any_of([self._on(v, flat, parts_of, t) for t in some for v, flat in actual]) for some in tests]
         return all_of(parts) if every else any_of(parts)
 
+    def _held(self, name: str, target: int, v: Value, text: str, mode: Mode) -> Column:
+        """Whether a value contains a text: from the texts found in one pass, if they are shared."""
+        plain = patterns.literal(text)
+        if patterns.has_wildcard(text) or not plain:
+            return COMPARATORS["contains"](v, text, mode)
+        key, plain = (name, target, mode.cased), plain if mode.cased else plain.lower()
+        if self.asked is not None:
+            self.asked.setdefault(key, (v.text if mode.cased else F.lower(v.text), set()))[1].add(plain)
+        if key in self.shared:
+            shared, places = self.shared[key]
+            return F.array_contains(F.col(shared), places[plain])
+        return COMPARATORS["contains"](v, text, mode)
+
     def _candidates(self, name: str) -> list[Value]:
         return [v for v, _ in self.fields.values(name)]
 
