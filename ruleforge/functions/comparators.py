@@ -100,18 +100,23 @@ def _cidr(v: Value, text: str, mode: Mode) -> Column:
         low = int(net.network_address)
         return ip_number(v.text).between(low, low + net.num_addresses - 1)
 
-    @F.pandas_udf("boolean")
-    def inside(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> bool:
-            try:
-                ip = ipaddress.ip_address(t)
-            except ValueError:
-                return False
-            return ip.version == 6 and ip.ipv4_mapped is None and ip in net
+    low, high = (f"{int(x):032x}" for x in (net.network_address, net.broadcast_address))
+    figures = ip6_figures(v.text)
+    return figures.between(low, high) & ~figures.startswith("0" * 20 + "ffff")
 
-        return texts.map(lambda t: t is not None and one(t)).astype(bool)
 
-    return inside(v.text)
+def ip6_figures(text: Column) -> Column:
+    """An IPv6 address as 32 hexadecimal figures; null for anything else."""
+    tail = F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)\z", 1)  # the last two groups may be written as IPv4
+    four = F.lower(F.lpad(F.hex(ip_number(tail)), 8, "0"))
+    plain = F.lower(F.when(tail == "", text).otherwise(F.concat(F.regexp_extract(text, r"(?s)\A(.*:)", 1), F.substring(four, 1, 4), F.lit(":"), F.substring(four, 5, 4))))
+    halves = F.split(plain, "::")
+    left, right = (F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda x: x != "") for i in (0, 1))
+    groups = F.size(left) + F.size(right)
+    short = F.size(halves) == 2
+    fits = plain.rlike(r"\A(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?\z") & F.when(short, groups <= 7).otherwise(groups == 8)
+    wide = lambda part: F.array_join(F.transform(part, lambda x: F.lpad(x, 4, "0")), "")
+    return F.when(fits, F.concat(wide(left), F.repeat(F.lit("0000"), F.lit(8) - groups), wide(right)))
 
 
 def numeric(v: Value) -> tuple[Column | None, Column]:
@@ -205,3 +210,13 @@ def local_time(v: Value) -> Column:
 
 #: name -> function from a time to a number.
 EVENT_MODIFIERS: dict[str, Callable[[Column], Column]] = {"minute": F.minute, "hour": F.hour, "day": F.dayofmonth, "week": F.weekofyear, "month": F.month, "year": F.year}
+
+
+def register_comparator(name: str, compare: Callable[[Value, str, Mode], Column]) -> None:
+    """Adds a comparator: whether an event value fits the text of a rule's value, null or false for no."""
+    COMPARATORS[name] = compare
+
+
+def register_event_modifier(name: str, part: Callable[[Column], Column]) -> None:
+    """Adds an event modifier: a number from a local time."""
+    EVENT_MODIFIERS[name] = part

@@ -8,8 +8,13 @@ from collections.abc import Callable, Iterable
 from decimal import Decimal
 from itertools import product
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ruleforge.rules.reader import Stamp
 
+from .gotext import base64_text
+
 # The dashes and slash that windash exchanges; for base64offset, the characters that each alignment
 # drops at the start, and at the end by the length that the shifted value has modulo 3.
 DASHES = ("-", "/", "–", "—", "―")
@@ -94,6 +99,43 @@ VALUE_MODIFIERS: dict[str, Callable[[str | bytes], list]] = {
 }
 
 
+def _column_base64(c: Column) -> Column:
+    return F.encode(base64_text(c), "UTF-8")
+
+
+def _column_offsets(c: Column) -> list[Column]:
+    """base64_offsets of a column of bytes."""
+    out = []
+    for shift, start in enumerate(OFFSET_STARTS):
+        text = base64_text(F.concat(F.lit(b" " * shift), c) if shift else c)
+        drop = F.element_at(F.array(*map(F.lit, OFFSET_ENDS)), (F.octet_length(c) + shift) % 3 + 1)
+        out.append(F.encode(F.substring(text, F.lit(start + 1), F.length(text) - start - drop), "UTF-8"))
+    return out
+
+
+def _wide(charset: str, mark: bytes = b"") -> Callable[[Column], list[Column]]:
+    return lambda c: [F.concat(F.lit(mark), F.encode(c.cast("string"), charset)) if mark else F.encode(c.cast("string"), charset)]
+
+
+#: The same for values of another field, as columns of bytes.
+COLUMN_MODIFIERS: dict[str, Callable[[Column], list[Column]]] = {
+    "base64": lambda c: [_column_base64(c)],
+    "base64offset": _column_offsets,
+    "utf16le": _wide("UTF-16LE"),
+    "wide": _wide("UTF-16LE"),
+    "utf16be": _wide("UTF-16BE"),
+    "utf16": _wide("UTF-16LE", b"\xff\xfe"),
+}
+
+
+def register_value_modifier(name: str, of_text: Callable[[str | bytes], list], of_column: Callable[[Column], list[Column]] | None = None) -> None:
+    """Adds a value modifier: a function from a rule's value to its candidates and, for references, from a column of bytes to such columns."""
+    VALUE_MODIFIERS[name] = of_text
+    if of_column is not None:
+        COLUMN_MODIFIERS[name] = of_column
+
+
+
 def candidates(text: str, modifiers: Iterable[str]) -> list[str | None]:
     """All forms of a value after the chain of modifiers; None for bytes that are no text."""
     values: list = [text]

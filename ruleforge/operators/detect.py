@@ -88,6 +88,9 @@ class Bundle:
     def _shared(self, df: DataFrame) -> tuple[DataFrame, Compiler]:
         """df and a compiler for the rules without state; where a field is searched for many texts, df has a column of those found in one pass."""
         compiler = self.options.compiler(df)
+        fields = [f for r in self.rules for search in r.detection.searches.values() for fields in search.matchers or () for f in fields]
+        if sum(len(f.values) for f in fields if "contains" in f.modifiers) < self.needles:
+            return df, compiler
         compiler.asked = {}
         self._usable(df, self.rules, compiler)
         shared = self.options.compiler(df)

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from ruleforge.functions import patterns
 from ruleforge.functions.comparators import COMPARATORS, EVENT_MODIFIERS, Mode, Value, compare_fields, local_time
-from ruleforge.functions.gotext import base64_text, go_text
-from ruleforge.functions.literals import VALUE_MODIFIERS, BadValue, Expander, candidates, expand_values
+from ruleforge.functions.gotext import go_text
+from ruleforge.functions.literals import COLUMN_MODIFIERS, VALUE_MODIFIERS, BadValue, Expander, candidates, expand_values
 from ruleforge.rules import condition as c
 from ruleforge.rules.model import FieldMatcher, Rule, Search
 
@@ -170,12 +170,14 @@ class Compiler:
     def _referred(self, name: str, v: Value, other: Value, chain: list[str], mode: Mode) -> Column:
         flat = isinstance(other.kind, T.ArrayType)
         if chain:
-            if flat or set(chain) - {"base64"}:
+            if flat or set(chain) - set(COLUMN_MODIFIERS):
                 raise CompileError(f"{'|'.join(chain)} of another field is not supported")
-            text = F.regexp_replace(other.text, r"([*?\\])", r"\\$1")
-            for _ in chain:
-                text = base64_text(F.encode(text, "UTF-8"))
-            other = Value(text, T.StringType())
+            found = [F.encode(other.text, "UTF-8")]
+            for m in chain:
+                found = [y for x in found for y in COLUMN_MODIFIERS[m](x)]
+            # bytes that are no text match nothing
+            texts = [F.try_validate_utf8(x.cast("string")) for x in found]
+            return any_of([t.isNotNull() & compare_fields(name, v, Value(t, T.StringType()), mode) for t in texts])
         if flat:
             return F.exists(other.col, lambda x: true_or_false(compare_fields(name, v, Value(x, other.kind.elementType), mode)))
         return other.col.isNotNull() & compare_fields(name, v, other, mode)

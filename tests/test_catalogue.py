@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from ruleforge.plans import catalogue
+from ruleforge.plans import catalogue, more  # noqa: F401
 
 
 @pytest.fixture(scope="module")
