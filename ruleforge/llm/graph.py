@@ -8,25 +8,28 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
-def _to_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """Edges (a, b) with b linked to m, the least around a. A plain shuffle join, of which Spark splits a hot node."""
-    return edges.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _to_least(edges: DataFrame, least: DataFrame, name: str) -> DataFrame:
+    """Edges (a, b) with b linked to m, the least around a.
+
+    least is written, so that both sides of the join are plain exchanges, of which Spark splits what a hot node makes large.
+    """
+    return edges.join(staged(least, name).hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, name: str) -> DataFrame:
     """Links the neighbours above each node to the least of its neighbours and itself. edges: a > b.
 
     A node's neighbours are never gathered: the least one is a grouped minimum, joined back to the edges.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return _to_least(both.where("b > a"), least).where("a <> b").distinct()
+    return _to_least(both.where("b > a"), least, f"{name}-least").where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, name: str) -> DataFrame:
     """Links the neighbours below each node, and the node itself, to the least of them. edges: a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    return _to_least(edges, least).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    return _to_least(edges, least, f"{name}-least").unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -38,6 +41,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if seen == mark or not seen[0]:
             break
         mark = seen
-        now = staged(_small_star(staged(_large_star(now), name)), name)
+        now = staged(_small_star(staged(_large_star(now, name), name), name), name)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
