@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ruleforge.functions.gotext import go_text
 from ruleforge.rules.model import Rule
 
+# The columns of alert rows, in their order.
 COLUMNS = ("timestamp", "source_file", "record_id", "computer", "channel", "event_id", "rule_id", "rule_title", "rule_level", "rule_tags", "event_json")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Keys of a log record that keep their names.
 _SYSTEM = ("Channel", "Computer", "Level", "Task", "Opcode", "Version", "EventRecordID", "Keywords")
 
 
