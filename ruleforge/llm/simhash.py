@@ -10,7 +10,9 @@ Documents fold to distinct fingerprints first. Near copies in thousands would me
 links fingerprints to a few hubs under the nearest-codeword keys; the full round then only compares fingerprints from
 different components of the first. Where a component has HOT rows or more under a key, its rows lie on a side of
 their own that the component's own queries don't read: rows under a hot key meet those of other components only.
-Links found are a spanning set: components are exact, nothing is capped.
+Links found are a spanning set: components are exact, nothing is capped. Tables that grow with the corpus are merged,
+never broadcast, since the driver would hold them: Spark's estimate of a table's bytes knows nothing of the keys that
+a fingerprint has.
 
 Defined cases: null texts are empty; a text without words has fingerprint 0, linked like any other; one to three
 words make one shingle; a null id has no part in the least id (component_id is null if there is no other); repeated
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import staged, text_of
+from .common import beside, staged, text_of
 from .graph import components
 
 SHINGLE = 4
@@ -116,7 +118,7 @@ def _keyed(prints: DataFrame, kind: str) -> DataFrame:
 def _labelled(prints: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """prints with comp replaced by the component that edges between comps make."""
     found = components(edges, name)
-    joined = prints.withColumnRenamed("comp", "_was").join(found, F.col("_was") == F.col("node"), "left")
+    joined = prints.withColumnRenamed("comp", "_was").join(found.hint("merge"), F.col("_was") == F.col("node"), "left")
     return staged(joined.withColumn("comp", F.coalesce("component", "_was")).drop("_was", "node", "component"), name)
 
 
@@ -129,18 +131,18 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     near = _keyed(prints, "near")
     hubs = near.groupBy("key").agg(F.array_distinct(F.array(F.min("fp"), F.max("fp"), F.min_by("fp", F.xxhash64("fp")), F.max_by("fp", F.xxhash64("fp")))).alias("hubs"))
     hubs = hubs.where("size(hubs) > 1").select("key", F.explode("hubs").alias("fp"))
-    first = near.alias("l").join(hubs.alias("r"), (F.col("l.key") == F.col("r.key")) & close & (F.col("l.fp") != F.col("r.fp")))
+    first = near.alias("l").join(hubs.alias("r").hint("merge"), (F.col("l.key") == F.col("r.key")) & close & (F.col("l.fp") != F.col("r.fp")))
     prints = _labelled(prints, first.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")), "simhash-hubs")
-    homes = _homes(prints)
+    homes = beside(_homes(prints))
     left, right = _sided(_keyed(prints, "index"), homes, False).alias("l"), _sided(_keyed(prints, "query"), homes, True).alias("r")
-    full = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & close)
+    full = left.join(right.hint("merge"), (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & close)
     return _labelled(prints, full.select(F.col("l.comp").alias("a"), F.col("r.comp").alias("b")), "simhash-links")
 
 
 def _homes(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """key, home: for each key under which a component has `hot` index rows or more, the component with most."""
     large = prints.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot).select("comp")
-    held = _keyed(prints.join(large, "comp", "left_semi"), "index").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot)
+    held = _keyed(prints.join(beside(staged(large, "simhash-large")), "comp", "left_semi"), "index").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot)
     return staged(held.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("home")), "simhash-homes")
 
 
@@ -156,14 +158,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     """Rows (doc_id, fp, told), staged, and for each fingerprint (_fp) its comp and component_id, staged."""
     rows = staged(fingerprints(docs, id_col, text_col), "simhash-rows")
     prints = link_fingerprints(staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-prints"))
-    least = prints.groupBy("comp").agg(F.min("first").alias("component_id"))
-    return rows, staged(prints.join(least, "comp").select(F.col("fp").alias("_fp"), "comp", "component_id"), "simhash-table")
+    # written, so that both sides of the join are plain exchanges, of which Spark splits what a large group makes hot
+    least = staged(prints.groupBy("comp").agg(F.min("first").alias("component_id")), "simhash-least")
+    return rows, staged(prints.join(least.hint("merge"), "comp").select(F.col("fp").alias("_fp"), "comp", "component_id"), "simhash-table")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach)."""
     rows, table = _grouped(docs, id_col, text_col)
-    return rows.join(table, rows["fp"] == table["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(table.hint("merge"), rows["fp"] == table["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,9 +176,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows, table = _grouped(docs, id_col, text_col)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "told")
-    best = rows.join(table, rows["fp"] == table["_fp"]).groupBy("comp").agg(F.min(order).alias("best"))
+    best = rows.join(table.hint("merge"), rows["fp"] == table["_fp"]).groupBy("comp").agg(F.min(order).alias("best"))
     stay = best.select(F.col("best.doc_id").alias("_id"), F.col("best.told").alias("_told"))
     # the columns of docs travel as one, so that none of theirs can clash with one of ours
     told = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("bigint").alias("_own"), F.xxhash64(text_of(text_col)).alias("_mine"))
-    kept = told.join(stay, told["_own"].eqNullSafe(stay["_id"]) & (told["_mine"] == stay["_told"]))
+    kept = told.join(stay.hint("merge"), told["_own"].eqNullSafe(stay["_id"]) & (told["_mine"] == stay["_told"]))
     return kept.dropDuplicates(["_id", "_told"]).select("_row.*")

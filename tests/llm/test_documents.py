@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ruleforge.llm import exact, golay, lm, media, mixing, packing, passages, simhash, subword
+from ruleforge.llm import common, exact, golay, graph, lm, media, mixing, packing, passages, simhash, subword
 
 SPACES = re.compile("[\x20\x09-\x0d]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _text string, fp bigint, size string"
@@ -292,6 +292,29 @@ def test_rows_of_a_hot_key_meet_those_of_other_components_only(spark):
     assert under <= set(met) and len(met) < 1500
 
 
+def test_simhash_broadcasts_nothing_that_grows(spark, docs, monkeypatch):
+    """Below Spark's default threshold too, only the few homes and large components, counted before, go through the driver."""
+    plans, write = [], graph.staged
+
+    def planned(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def watched(df, *more):
+        plans.append(planned(df))
+        return write(df, *more)
+
+    monkeypatch.setattr(graph, "staged", watched)
+    monkeypatch.setattr(simhash, "staged", watched)
+    plans += [planned(simhash.near_duplicates(docs)), planned(simhash.representatives(docs))]
+    joins = re.findall(r"\w+Join \[.*", "\n".join(plans))
+    counted = [j for j in joins if "LeftSemi" in j or re.search(r"Join \[key#\w+\], \[key#\w+\], LeftOuter", j)]
+    assert len(counted) == 6 and len(joins) > 20
+    assert {j.split()[0] for j in joins if j not in counted} == {"SortMergeJoin"}
+    few = spark.range(20).withColumnRenamed("id", "key")
+    for most, kind in ((20, "BroadcastHashJoin"), (19, "SortMergeJoin")):
+        assert kind in planned(few.join(common.beside(few, most), "key", "left"))
+
+
 def test_missing_chunk_fails(docs):
     lists = media.chunk_lists(docs)
     with pytest.raises(Exception):  # noqa: B017
