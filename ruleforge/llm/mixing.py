@@ -92,7 +92,8 @@ class Mix:
         """The overlaps of documents with blocks: keys of the row, words from..to of the document, times."""
         spans = self.rows.where("size > 0").withColumn("block", F.explode(F.expr("sequence(start div width, (start + size - 1) div width)")))
         spans = spans.withColumn("first", F.expr("greatest(start, block * width) - start")).withColumn("last", F.expr("least(start + size, (block + 1) * width) - start"))
-        return spans.join(self.usage(), ["src", "block"], "left").fillna(0, ["times"])
+        # tables that grow with the corpus are merged: Spark's estimate of their bytes is below what the driver would hold
+        return spans.join(self.usage().hint("merge"), ["src", "block"], "left").fillna(0, ["times"])
 
 
 def _array(values: list[int]) -> str:
@@ -209,11 +210,11 @@ def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     spans = mix.pieces().where("times > 0").groupBy(*keys, "doc_id", "source", "size").agg(F.sort_array(F.collect_list(F.struct("first", "last", "times"))).alias("_spans"))
     by_size = Window.partitionBy("doc_id", "source").orderBy("size", "start")
     plan = mix.rows.where("size > 0").select("doc_id", "source", "size", *keys, F.row_number().over(by_size).alias("_nth"))
-    plan = plan.join(spans.select(*keys, "_spans"), keys).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "_nth", F.col("size").alias("_size"), "_spans")
+    plan = plan.join(spans.select(*keys, "_spans").hint("merge"), keys).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "_nth", F.col("size").alias("_size"), "_spans")
     # the columns of docs travel as one, so that none of theirs can clash with one of ours
     rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source", text_of().alias("text"), F.regexp_count(text_of(), F.lit(WORD)).cast("bigint").alias("_words")).where("_words > 0")
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("_words")))
-    both = rows.join(plan, rows["doc_id"].eqNullSafe(plan["_id"]) & rows["source"].eqNullSafe(plan["_src"]) & (rows["_n"] == plan["_nth"]))
+    both = rows.join(plan.hint("merge"), rows["doc_id"].eqNullSafe(plan["_id"]) & rows["source"].eqNullSafe(plan["_src"]) & (rows["_n"] == plan["_nth"]))
     both = both.withColumn("_time", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("_mine", F.expr("filter(_spans, s -> s.times >= _time)")).where("size(_mine) > 0")
     whole = F.expr("aggregate(_mine, 0L, (n, s) -> n + s.last - s.first) = _size")
     parts = F.expr(r"array_join(flatten(transform(_mine, s -> slice(_all, CAST(s.first AS INT) + 1, CAST(s.last - s.first AS INT)))), ' ')")

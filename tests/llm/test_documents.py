@@ -188,6 +188,11 @@ def test_whole_rows_keep_columns_whose_names_clash(spark, rows):
         assert all(r[n] == f"{n}{r.doc_id}" for r in made.collect() for n in names)
 
 
+def test_mixed_documents_broadcast_nothing_that_grows(docs):
+    plan = mixing.mix_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert [j.split()[0] for j in re.findall(r"\w+Join \[.*", plan)] == ["SortMergeJoin"] * 3
+
+
 def test_mixed_documents_hold_the_words_taken(docs):
     counts = Counter({(r.doc_id, r.source): r.taken for r in mixing.mix_counts(docs.dropDuplicates(["doc_id"])).collect()})
     out = mixing.mix_documents(docs.dropDuplicates(["doc_id"]))
