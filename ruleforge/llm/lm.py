@@ -47,12 +47,19 @@ _EDGE = VOCABULARY
 _CACHE = 300_000
 _TOGETHER = 100_000
 _SLICE = 4096
+#: Columns by which the rows of a batch's matrices are longer than the batch: rows a power of two apart share few places of a cache.
+_APART = 16
 _GROUPS = 64
 _WEIGHTS = {"embed": (VOCABULARY + 1, WIDTH), "mix": (2 * SPAN * WIDTH, HIDDEN), "shift": (HIDDEN,)} | {f"tree{n}": (SIDE**n, SIDE, HIDDEN + 1) for n in range(LEVELS)}
 #: Sums of squared gradients, by which AdaGrad divides: one for each embedded token, else one a weight.
 _SHAPES = _WEIGHTS | {f"{k}_squares": (s[0], 1) if k == "embed" else s for k, s in _WEIGHTS.items()}
 
 
+def _columns(rows: int, n: int, dtype: np.dtype) -> np.ndarray:
+    """A matrix of n columns that is not set."""
+    return np.empty((rows, n + _APART), dtype=dtype)[:, :n]
+
+
 @dataclass
 class Network:
     """The weights, and the sums of their squared gradients, by name."""
@@ -82,9 +89,12 @@ class Network:
     def _hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Inputs by row, and hidden values by column with a last row of ones."""
         w = self.weights
-        x = w["embed"][around].reshape(len(around), -1)
-        h = np.ones((HIDDEN + 1, len(around)), dtype=x.dtype)
-        np.tanh(w["mix"].T @ x.T + w["shift"][:, None], out=h[:HIDDEN])
+        x = w["embed"].take(around, axis=0).reshape(len(around), -1)
+        h = _columns(HIDDEN + 1, len(around), x.dtype)
+        np.matmul(w["mix"].T, x.T, out=h[:HIDDEN])
+        h[:HIDDEN] += w["shift"][:, None]
+        np.tanh(h[:HIDDEN], out=h[:HIDDEN])
+        h[HIDDEN] = 1
         return x, h
 
     def _branches(self, h: np.ndarray, tokens: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
@@ -92,9 +102,9 @@ class Network:
         node = tokens >> (BITS * (LEVELS - level))
         starts = np.concatenate(([0], np.flatnonzero(node[1:] != node[:-1]) + 1))
         runs = list(zip(node[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(tokens)], strict=True))
-        z, tree = np.empty((SIDE, len(tokens)), dtype=h.dtype), self.weights[f"tree{level}"]
+        z, tree = _columns(SIDE, len(tokens), h.dtype), self.weights[f"tree{level}"]
         for n, a, b in runs:
-            np.matmul(tree[n], h[:, a:b], out=z[:, a:b])
+            np.matmul(tree[n], h[:, a:b], z[:, a:b])
         z -= z.max(axis=0)
         return z, (tokens >> (BITS * (LEVELS - 1 - level))) & (SIDE - 1), runs
 
@@ -118,7 +128,7 @@ class Network:
         order = np.argsort(tokens, kind="stable")
         around, tokens = around[order], tokens[order]
         x, h = self._hidden(around)
-        to_h, at = np.zeros_like(h), np.arange(len(tokens))
+        to_h, some, at = _columns(HIDDEN + 1, len(tokens), h.dtype), _columns(HIDDEN + 1, len(tokens), h.dtype), np.arange(len(tokens))
         for level in range(LEVELS):
             z, branch, runs = self._branches(h, tokens, level)
             tree = w[f"tree{level}"]
@@ -127,10 +137,13 @@ class Network:
             z[branch, at] -= 1
             z *= z.dtype.type(1 / len(tokens))
             grad = np.empty((len(runs), SIDE, HIDDEN + 1), dtype=z.dtype)
-            for k, (n, a, b) in enumerate(runs):
-                mine = z[:, a:b]
-                to_h[:, a:b] += tree[n].T @ mine
-                np.matmul(mine, h[:, a:b].T, out=grad[k])
+            into, turned, by_row = some if level else to_h, tree.transpose(0, 2, 1), h.T
+            for mine, (n, a, b) in zip(grad, runs, strict=True):
+                part = z[:, a:b]
+                np.matmul(turned[n], part, into[:, a:b])
+                np.matmul(part, by_row[a:b], mine)
+            if level:
+                to_h += some
             out[f"tree{level}"] = np.array([n for n, _, _ in runs]), grad
         to_sum = to_h[:HIDDEN] * (1 - h[:HIDDEN] * h[:HIDDEN])
         to_x = (to_sum.T @ w["mix"].T).reshape(-1, WIDTH)
@@ -138,7 +151,7 @@ class Network:
         order = np.argsort(around, axis=None, kind="stable")
         ids = around.ravel()[order]
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        out["embed"] = ids[first], np.add.reduceat(to_x[order], first)
+        out["embed"] = ids[first], np.add.reduceat(to_x.take(order, axis=0), first)
         return out
 
     def step(self, around: np.ndarray, tokens: np.ndarray, rate: float = RATE) -> None:
@@ -148,7 +161,9 @@ class Network:
             square = grad * grad
             found = squares[at] + (square.mean(axis=1, keepdims=True) if name == "embed" else square)
             squares[at] = found
-            self.weights[name][at] -= rate * grad / np.sqrt(found)
+            grad *= grad.dtype.type(rate)
+            grad /= np.sqrt(found, out=found)
+            self.weights[name][at] -= grad
 
 
 def windows(ids: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
@@ -168,19 +183,29 @@ def masked(n: int, seed: int, turn: int, rounds: int) -> np.ndarray:
 
 
 def examples(keys: list[int], ids: list[bytes], turn: int, rounds: int) -> Iterator[np.ndarray]:
-    """Rows of a masked token and the ids around it, those of many texts together."""
+    """Rows of a masked token and the ids around it, those of many texts together (see windows)."""
+    edge, steps = np.full(SPAN, _EDGE, dtype="<i2").tobytes(), [0, *(d for d in range(-SPAN, SPAN + 1) if d)]
     held, n = [], 0
     for key, text in zip(keys, ids, strict=True):
-        found = np.frombuffer(text, dtype="<i2")
-        at = masked(len(found), key, turn, rounds)
-        for some in np.split(at, range(_TOGETHER, len(at), _TOGETHER)):
-            held.append(np.column_stack((found[some], windows(found, some))))
-            n += len(some)
-            if n >= _TOGETHER:
-                yield np.concatenate(held)
-                held, n = [], 0
+        held.append((key, text))
+        n += len(text) // 2
+        if n >= _TOGETHER * rounds:
+            yield from _rows_of(held, edge, steps, turn, rounds)
+            held, n = [], 0
     if n:
-        yield np.concatenate(held)
+        yield from _rows_of(held, edge, steps, turn, rounds)
+
+
+def _rows_of(texts: list[tuple[int, bytes]], edge: bytes, steps: list[int], turn: int, rounds: int) -> Iterator[np.ndarray]:
+    # the texts lie in one array with edges between them, so that each step around the masked tokens is read at once
+    padded = np.frombuffer(edge + b"".join(t + edge for _, t in texts), dtype="<i2")
+    at, start = [], SPAN
+    for key, text in texts:
+        at.append(masked(len(text) // 2, key, turn, rounds) + start)
+        start += len(text) // 2 + SPAN
+    at = np.concatenate(at)
+    for i in range(0, len(at), 2 * _TOGETHER):
+        yield np.stack([padded[at[i : i + 2 * _TOGETHER] + d] for d in steps], axis=1)
 
 
 class _Known(dict):

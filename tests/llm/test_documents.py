@@ -540,6 +540,21 @@ def test_language_model_trains_on_every_token():
         assert seen == Counter(i for t in texts for i in t.tolist())
 
 
+def test_language_model_reads_many_texts_at_once():
+    """Thousands of short texts come as a few arrays, with the rows that each text has alone; matrices don't lie in steps of a page."""
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, 4096, n).astype("<i2") for n in [0, 1, 2, 3, *rng.integers(0, 90, 3000), 450_000]]
+    keys = rng.integers(0, 1 << 62, len(texts)).tolist()
+    for turn in range(2):
+        got = list(lm.examples(keys, [t.tobytes() for t in texts], turn, 2))
+        wanted = [np.column_stack((t[at], lm.windows(t, at))) for t, k in zip(texts, keys) for at in [lm.masked(len(t), k, turn, 2)]]
+        assert np.array_equal(np.concatenate(got), np.concatenate(wanted)) and max(map(len, got)) <= 2 * lm._TOGETHER
+    net, some = lm.Network.fresh(), np.concatenate(got)[: lm.BATCH]
+    h = net._hidden(some[:, 1:])[1]
+    z = net._branches(h, np.sort(some[:, 0]), 1)[0]
+    assert len(some) == lm.BATCH and h.strides[0] % 4096 and z.strides[0] % 4096
+
+
 def test_language_model_deals_copies_to_all_parts(spark):
     tokens = spark.createDataFrame([(i, 7, bytearray(b"ab")) for i in range(400)], "doc_id bigint, key bigint, ids binary")
     parts = [len(p) for p in lm.dealt(tokens, 4).rdd.glom().collect()]
