@@ -628,6 +628,32 @@ def test_language_model_averages_by_tokens(spark):
     assert np.abs(found - (start + mean)).max() < 1e-4 + np.abs(mean).max() / 100
 
 
+@pytest.mark.parametrize("length", [50, 64])
+def test_every_two_texts_with_one_passage_are_linked(spark, length):
+    """A passage of many texts: each has all others as links, not only the first one and the one before."""
+    rng = random.Random(length)
+    passage = words(rng, length)
+    found = passages.repeated_passages(planted(spark, [" ".join([words(rng, 40), passage, words(rng, 40)]) for _ in range(20)])).collect()
+    assert {r.doc_id: r.links for r in found} == dict.fromkeys(range(20), 19)
+    assert all(r.start <= 40 and r.start + r.n_words >= 40 + length for r in found)
+
+
+def test_links_count_partners_of_all_parts_of_an_interval(spark):
+    rng = random.Random(12)
+    whole = words(rng, 150).split()
+    parts = [" ".join([words(rng, 30), *whole[a:b], words(rng, 30)]) for a, b in ((0, 150), (0, 80), (70, 150), (30, 100))]
+    found = passages.repeated_passages(planted(spark, parts)).collect()
+    assert [(r.start, r.n_words, r.links) for r in found if r.doc_id == 0] == [(30, 150, 3)]
+
+
+def test_every_pair_of_rows_of_a_seed(spark):
+    rng = random.Random(5)
+    given = sorted({(rng.randrange(9), rng.randrange(3), rng.randrange(6), at) for at in range(80)} | {(20, -1, c, 7) for c in range(3)})
+    made = passages._paired_rows(spark.createDataFrame(given, "seed bigint, core bigint, cls bigint, at int"))
+    wanted = Counter((c, p + d, c2, p + d, p2 + d) for s, k, c, p in given for s2, k2, c2, p2 in given if s == s2 and c2 < c for d in ([0, passages.CORE - passages.K] if k == k2 >= 0 else [0]))
+    assert Counter((r.a, r.x, *r._to) for r in made.collect()) == wanted
+
+
 def test_links_against_brute_force(spark):
     """Every row of a seed of several classes has its two links, a hot seed among them."""
     rng = random.Random(3)
