@@ -9,6 +9,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -646,6 +647,70 @@ def test_links_count_partners_of_all_parts_of_an_interval(spark):
     assert [(r.start, r.n_words, r.links) for r in found if r.doc_id == 0] == [(30, 150, 3)]
 
 
+def test_short_chains_are_not_aligned_column_by_column(monkeypatch):
+    """Texts that share too few words for a passage cost neither columns nor runs; equal ones no edit alignment."""
+    rng = random.Random(21)
+    made = Counter()
+    for name in ("good", "_edit"):
+        monkeypatch.setattr(passages, name, lambda *args, _made=getattr(passages, name), _name=name: made.update([_name]) or _made(*args))
+    line, passage = words(rng, 12), words(rng, 300)
+    x, y = (" ".join([words(rng, 70), line, words(rng, 70)]).encode().split() for _ in range(2))
+    assert passages.align(x, y, [(70, 70), (73, 73), (77, 77)]) == [] and not made
+    x, y = (" ".join([words(rng, n), passage, words(rng, 70)]).encode().split() for n in (10, 20))
+    assert [(r[:4], round(r[4], 9)) for r in passages.align(x, y, [(10 + i, 20 + i) for i in range(0, 296, 3)])] == [((10, 310, 20, 320), 1.0)]
+    assert made == {"good": 1}
+
+
+def test_minimizers_of_many_texts_at_once():
+    """Texts that lie one after another, short ones and runs of one word among them, have the seeds that each has alone."""
+    rng = random.Random(22)
+    texts = [t.encode().split() for t in ["", *(words(rng, n) for n in (0, 1, 4, 5, 6, 7, 8, 9, 40, 200)), "x " * 6, "x " * 90, words(rng, 3) + " y" * 30, words(rng, 8)]]
+    one, sizes = np.concatenate([passages.hashed(t) for t in texts]), np.array([len(t) for t in texts])
+    h, at = passages.minimizers(one, sizes)
+    ends, wanted = np.cumsum(sizes), []
+    for t, e in zip(texts, ends.tolist()):
+        alone = [xxhash.xxh64_intdigest(w, 19) for w in t]
+        names = []
+        for i in range(len(t) - passages.K + 1):
+            v = 0
+            for u in alone[i : i + passages.K]:
+                v = (v ^ u) * int(passages._MIX) % 2**64
+                v ^= v >> 31
+            names.append(v)
+        windows = range(max(1, len(names) - passages.W + 1)) if names else []
+        least = sorted({min(range(i, min(i + passages.W, len(names))), key=lambda j: (names[j], j)) for i in windows})
+        mine = [(int(a) - e + len(t), int(v) % 2**64) for a, v in zip(at, h) if e - len(t) <= a < e]
+        assert set(mine) <= {(i, names[i]) for i in least}
+        if len(set(names)) == len(names):
+            assert mine == [(i, names[i]) for i in least]
+        wanted += [e - len(t) + int(i) for i in passages.seeds(t)[1]]
+    assert at.tolist() == wanted
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_chains_of_many_pairs_at_once(rows):
+    """Pairs of classes over batches of any size, repeated matches among them, have the chains that each has alone."""
+    rng = random.Random(rows)
+    given = defaultdict(list)
+    for pair in range(40):
+        if pair % 4 == 0:
+            given[pair // 3, pair] += [(3 * i, 3 * i + pair) for i in range(rng.choice([1, 2, 30]))]
+        else:
+            given[pair // 3, pair] += [(rng.randrange(60), rng.randrange(60)) for _ in range(rng.choice([1, 2, 9]))]
+        given[pair // 3, pair] += given[pair // 3, pair][:2]
+    matches = [(a, b, x, y) for (a, b), found in sorted(given.items()) for x, y in found]
+    columns = [pa.array(c, t) for c, t in zip(zip(*matches), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+    batches = pa.RecordBatch.from_arrays(columns, names=["a", "b", "x", "y"])
+    made = [r for i in range(0, len(matches), rows) for r in [batches.slice(i, rows)]]
+    wanted = []
+    for (a, b), found in given.items():
+        p, q = (np.array(c) for c in zip(*sorted(set(found))))
+        wanted += [(a, b, p[c].tolist(), q[c].tolist()) for c in passages.chains(p, q) if len(c) > 1]
+    found = [r for batch in passages._chain_rows(iter(made)) for r in batch.to_pylist()]
+    assert sorted((r["a"], r["b"], r["p"], r["q"]) for r in found) == sorted(wanted)
+    assert all((r["a_from"], r["a_to"], r["b_from"], r["b_to"]) == (r["p"][0], r["p"][-1] + passages.K, r["q"][0], r["q"][-1] + passages.K) for r in found)
+
+
 def test_every_pair_of_rows_of_a_seed(spark):
     rng = random.Random(5)
     given = sorted({(rng.randrange(9), rng.randrange(3), rng.randrange(6), at) for at in range(80)} | {(20, -1, c, 7) for c in range(3)})
