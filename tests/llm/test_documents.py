@@ -719,6 +719,37 @@ def test_every_pair_of_rows_of_a_seed(spark):
     assert Counter((r.a, r.x, *r._to) for r in made.collect()) == wanted
 
 
+def test_frequent_phrases_cost_a_passage_no_link(spark):
+    """Every phrase of a passage of eight texts is frequent elsewhere, but not the passage: each of them has all others as links."""
+    rng = random.Random(13)
+    passage = words(rng, 60)
+    w = passage.split()
+    texts = [" ".join([words(rng, 40), passage, words(rng, 40)]) for _ in range(8)]
+    texts += [" ".join([words(rng, 30), *w[at : at + 20], words(rng, 30)]) for at in range(0, 48, 8) for _ in range(passages.FEW)]
+    found = passages.repeated_passages(planted(spark, texts)).collect()
+    assert {r.doc_id: r.links for r in found} == dict.fromkeys(range(8), 7)
+    assert all(r.start <= 40 and r.start + r.n_words >= 100 for r in found)
+
+
+def test_links_over_ranges_of_classes(spark):
+    """Classes of all ranges: the links, and the rows of a key, are those of one order, and no task has a whole hot key."""
+    rng = random.Random(14)
+    classes = [rng.randrange(1 << 63) for _ in range(60)] + [3, (1 << 63) - 1]
+    given = sorted({(rng.choice([5, 5, 5, rng.randrange(30)]), rng.choice(classes), at) for at in range(400)} | {(99, classes[0], i) for i in range(9)})
+    rows = passages._linked(spark.createDataFrame(given, "seed bigint, cls bigint, at int"), ["seed"], "links")
+    out = {(r.seed, r.cls, r.at): (r.links, r.links_rows) for r in rows.collect()}
+    assert len(out) == len(given)
+    for (seed, cls, at), (links, size) in out.items():
+        group = [(c, p) for s, c, p in given if s == seed]
+        others, before = [x for x in group if x[0] != cls], next(reversed(group[: group.index((cls, at))]), None)
+        assert size == len(group) and (links is None) == (not others)
+        if others:
+            assert [tuple(r) if r else None for r in links] == [others[0], before if before and before[0] != cls else None]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    ordered = [line for line in plan.splitlines() if "Window [" in line and "at#" in line]
+    assert ordered and all("_range#" in line for line in ordered)
+
+
 def test_links_against_brute_force(spark):
     """Every row of a seed of several classes has its two links, a hot seed among them."""
     rng = random.Random(3)
