@@ -1,7 +1,11 @@
 """Streams give what batch gives on input in order; late events follow the folds."""
 
+import random
 import time
+from types import SimpleNamespace
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from ruleforge.operators.correlate import correlate
@@ -9,7 +13,7 @@ from ruleforge.operators.detect import Bundle
 from ruleforge.operators.folds import Average, CorrelationFold, Distinct, Extremum, LastSeen, TwoBucket
 from ruleforge.operators.options import Options
 from ruleforge.rules.reader import parse_rule, split_documents
-from ruleforge.streaming.stateful import Expiry, correlate_stream, detect_stream, dump, evaluate_stream, load
+from ruleforge.streaming.stateful import Expiry, _Processor, correlate_stream, detect_stream, dump, evaluate_stream, in_order, load
 
 EVENTS = Options(time="ts", seq="event_id")
 
@@ -117,3 +121,91 @@ def test_a_rule_with_state_is_no_plain_stream(spark, stream):
         detect_stream(source(), [rule("s:\n  event_type: error\ncondition: s | count() > 2")])
     with pytest.raises(ValueError):
         evaluate_stream(source(), rule("s:\n  event_type: error\ncondition: s"))
+
+
+@pytest.mark.parametrize("run_bytes", [1 << 30, 4000, 300])
+def test_order_of_rows_by_runs_on_disk(run_bytes):
+    draw = random.Random(7)
+    rows = [(draw.choice("ab"), draw.randrange(40), draw.randrange(3), f"{i}") for i in range(3000)]
+    parts = [pa.table(dict(zip("kusx", map(list, zip(*rows[i : i + 100]))))) for i in range(0, len(rows), 100)]
+    assert list(in_order(iter(parts), ["k", "u", "s"], run_bytes)) == sorted(rows, key=lambda r: r[:3])
+    assert list(in_order(iter([]), ["k"], run_bytes)) == []
+
+
+def test_one_group_is_not_in_memory_as_a_whole():
+    before = pa.total_allocated_bytes()
+    part = lambda i: pa.table({"k": [""] * 1000, "u": [(i * 7919 + j) % 100_003 for j in range(1000)], "x": [f"{i:0500}"] * 1000})
+    most, last = 0, -1
+    for n, (_, u, _) in enumerate(in_order(map(part, range(100)), ["k", "u"], 2_000_000), 1):
+        assert u >= last
+        last = u
+        if n % 500 == 0:
+            most = max(most, pa.total_allocated_bytes() - before)
+    assert n == 100_000
+    assert most < 8_000_000  # of 50 MB
+
+
+class Lane:
+    """The state store and the timers of a lane."""
+
+    def __init__(self):
+        self.folds, self.timers = {}, set()
+        self.getMapState = lambda *_, **__: SimpleNamespace(exists=lambda: bool(self.folds), getValue=lambda k: self.folds.get(k), updateValue=self.folds.__setitem__, removeKey=self.folds.pop, iterator=lambda: iter(list(self.folds.items())))
+        self.listTimers, self.registerTimer, self.deleteTimer = lambda: iter(list(self.timers)), self.timers.add, self.timers.discard
+
+
+COUNT = pa.schema([("_key", pa.string()), ("_us", pa.int64()), ("_seq", pa.int64()), ("_arg", pa.float64()), ("_event", pa.string())])
+
+
+def counter(every=False):
+    """More than 2 in the estimate of a minute."""
+    minute = 60_000_000
+    made = _Processor(["_lane", *COUNT.names], COUNT, lambda: TwoBucket(minute), lambda fold, us, arg: fold.add(us, arg) > 2, minute, Expiry(watermark="1 minute"), every)
+    lane = Lane()
+    made.init(lane)
+    return made, lane
+
+
+def feed(made, rows):
+    part = pd.DataFrame([(0, k, us, n, 1.0, f"{k}{n}") for n, (k, us) in enumerate(rows)])
+    return list(made.handleInputRows((0,), iter([part]), None))
+
+
+def test_groups_of_a_lane_share_a_frame():
+    made, lane = counter()
+    found = feed(made, [(f"g{i % 500}", i // 500) for i in range(1500)])
+    assert [len(f) for f in found] == [500]
+    assert set(found[0]._event) == {f"g{i % 500}{i}" for i in range(1000, 1500)}
+    assert len(lane.folds) == 500
+    assert len(lane.timers) == 1
+    again = feed(made, [("g3", 10), ("new", 11)])
+    assert list(again[0]._event) == ["g30"]
+    assert sum(map(len, feed(counter(every=True)[0], [("a", 0), ("b", 1)]))) == 2
+
+
+def test_idle_groups_of_a_lane_expire():
+    made, lane = counter()
+    feed(made, [("a", 0), ("b", 90_000_000)])
+    assert lane.timers == {120_001}
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 130_000)
+    assert list(made.handleExpiredTimer((0,), now, None)) == []
+    assert list(lane.folds) == [("b",)]
+    assert lane.timers == {120_001, 210_001}  # Spark drops the one that fired
+
+
+def test_states_expire_on_a_stream(spark, tmp_path):
+    r = rule("s:\n  event_type: error\ntimeframe: 1m\ncondition: s | count() by user_id > 1")
+    minutes = [0, 0.5, 10, 10.5, 30, 30.2, 50, 90, 90.1]
+    for i, m in enumerate(minutes):
+        table = spark.createDataFrame([(i * 10 + u, 1_700_000_000_000_000 + int(m * 60_000_000) + u, u, "error") for u in range(3 + i % 2)], "event_id bigint, ts bigint, user_id bigint, event_type string")
+        table.coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        time.sleep(0.01)
+    whole = spark.read.parquet(str(tmp_path / "events"))
+    source = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    found = run(spark, evaluate_stream(source, r, EVENTS, Expiry(watermark="10 seconds")), tmp_path / "state", "s_expiry")
+    wanted = Bundle([r], EVENTS).detect(whole)
+    assert sorted(x.event_id for x in found.collect()) == sorted(x.event_id for x in wanted.collect())
+    assert wanted.count() > 0
+    left = spark.read.format("statestore").option("stateVarName", "folds").load(str(tmp_path / "state"))
+    assert left.select("key").distinct().count() > 0
+    assert left.count() <= 4
