@@ -81,12 +81,20 @@ def _regex(v: Value, text: str, mode: Mode) -> Column:
     return v.text.contains(need) & found if len(need) > 2 and need != text else found
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def ip_number(text: Column) -> Column:
     """An IPv4 address, also mapped into IPv6, as a number; null for anything else."""
+    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+
+    def number_of(parts: Column) -> Column:
+        return sum((F.get(parts, F.lit(i)).try_cast("bigint") * (1 << (24 - 8 * i)) for i in range(4)), F.lit(0).cast("bigint"))
+
     bare = F.regexp_replace(text, r"(?i)\A::ffff:(?=\d+\.)", "")
-    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    parts = [F.regexp_extract(bare, rf"\A{octet}\.{octet}\.{octet}\.{octet}\z", i + 1) for i in range(4)]
-    return F.when(bare.rlike(rf"\A{octet}(?:\.{octet}){{3}}\z"), sum((F.expr("0L") + p.try_cast("bigint") * (1 << (24 - 8 * i)) for i, p in enumerate(parts)), F.lit(0).cast("bigint")))
+    return let(bare, lambda x: F.when(x.rlike(rf"\A{octet}(?:\.{octet}){{3}}\z"), let(F.split(x, r"\."), number_of)))
 
 
 def _cidr(v: Value, text: str, mode: Mode) -> Column:
@@ -98,25 +106,35 @@ def _cidr(v: Value, text: str, mode: Mode) -> Column:
         return F.lit(False)
     if net.version == 4:
         low = int(net.network_address)
-        return ip_number(v.text).between(low, low + net.num_addresses - 1)
+        return let(ip_number(v.text), lambda x: x.between(low, low + net.num_addresses - 1))
 
     low, high = (f"{int(x):032x}" for x in (net.network_address, net.broadcast_address))
-    figures = ip6_figures(v.text)
-    return figures.between(low, high) & ~figures.startswith("0" * 20 + "ffff")
+    return let(ip6_figures(v.text), lambda x: x.between(low, high) & ~x.startswith("0" * 20 + "ffff"))
 
 
 def ip6_figures(text: Column) -> Column:
     """An IPv6 address as 32 hexadecimal figures; null for anything else."""
-    tail = F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)\z", 1)  # the last two groups may be written as IPv4
-    four = F.lower(F.lpad(F.hex(ip_number(tail)), 8, "0"))
-    plain = F.lower(F.when(tail == "", text).otherwise(F.concat(F.regexp_extract(text, r"(?s)\A(.*:)", 1), F.substring(four, 1, 4), F.lit(":"), F.substring(four, 5, 4))))
-    halves = F.split(plain, "::")
-    left, right = (F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda x: x != "") for i in (0, 1))
-    groups = F.size(left) + F.size(right)
-    short = F.size(halves) == 2
-    fits = plain.rlike(r"\A(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?\z") & F.when(short, groups <= 7).otherwise(groups == 8)
-    wide = lambda part: F.array_join(F.transform(part, lambda x: F.lpad(x, 4, "0")), "")
-    return F.when(fits, F.concat(wide(left), F.repeat(F.lit("0000"), F.lit(8) - groups), wide(right)))
+    group = r"[0-9a-f]{1,4}"
+    form = rf"\A(?:{group}(?::{group})*)?(?:::(?:{group}(?::{group})*)?)?\z"
+
+    def two_groups(x: Column) -> Column:
+        """The last two groups may be written as IPv4."""
+        tail = F.regexp_extract(x, r":(\d+\.\d+\.\d+\.\d+)\z", 1)
+        return let(F.lpad(F.hex(ip_number(tail)), 8, "0"), lambda four: F.concat(F.regexp_extract(x, r"(?s)\A(.*:)", 1), F.substring(four, 1, 4), F.lit(":"), F.substring(four, 5, 4)))
+
+    def wide(part: Column) -> Column:
+        return F.array_join(F.transform(part, lambda x: F.lpad(x, 4, "0")), "")
+
+    def joined(left: Column, right: Column, short: Column) -> Column:
+        groups = F.size(left) + F.size(right)
+        return F.when(F.when(short, groups <= 7).otherwise(groups == 8), F.concat(wide(left), F.repeat(F.lit("0000"), F.lit(8) - groups), wide(right)))
+
+    def of_halves(halves: Column) -> Column:
+        left, right = (F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda x: x != "") for i in (0, 1))
+        return let(left, lambda a: let(right, lambda b: joined(a, b, F.size(halves) == 2)))
+
+    plain = let(text, lambda x: F.lower(F.when(x.rlike(r":\d+\.\d+\.\d+\.\d+\z"), two_groups(x)).otherwise(x)))
+    return let(plain, lambda x: F.when(x.rlike(form), let(F.split(x, "::"), of_halves)))
 
 
 def numeric(v: Value) -> tuple[Column | None, Column]:

@@ -146,3 +146,24 @@ def test_names_that_need_quotes_and_case(spark):
     df = spark.createDataFrame([("x", "y")], ["c-useragent", "c.d"])
     assert df.where(match_column(df, rule("s:\n  c-useragent: X\n  c.d: y\ncondition: s"))).count() == 1
     assert df.where(F.coalesce(match_column(df, rule("s:\n  C-UserAgent: x\ncondition: s")), F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("net", ["2001:db8::/32", "::1/128", "10.0.0.0/8"])
+def test_an_address_is_read_once(spark, net):
+    df = spark.range(3).select(F.concat_ws(":", F.lit("2001:db8:"), F.col("id").cast("string")).alias("f"))
+    found = df.where(match_column(df, leaf("f|cidr", [net])))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Filter", 1)[1].split("\n")[0].count("concat_ws(:") == 1
+    assert found.count() == (3 if net == "2001:db8::/32" else 0)
+
+
+@pytest.mark.parametrize(
+    ("text", "net", "inside"),
+    [
+        ("::1.2.3.4", "::/96", True), ("64:FF9B::192.0.2.33", "64:ff9b::c000:0/112", True), ("1:2:3:4:5:6:1.2.3.4", "1:2::/32", True), ("1:2:3:4:5:6:7:1.2.3.4", "::/0", False), ("1:2:3:4:5:6:7:8:9", "::/0", False), ("1:2:3:4:5:6:7::", "1::/16", True),
+        ("1:2:3:4:5:6:7:8::", "::/0", False), ("1::2::3", "::/0", False), ("::ffff:1.2.3.4", "::/0", False), ("::ffff:1.2.3.4", "1.2.3.0/24", True), ("::1\n", "::/0", False), ("12345::", "::/0", False), ("::", "::/8", True), ("", "::/0", False), (":1.2.3.4", "::/0", False), ("01.2.3.4", "0.0.0.0/0", False),
+    ],
+)
+def test_forms_of_addresses(spark, text, net, inside):
+    df = spark.createDataFrame([(text,)], "f string")
+    assert (df.where(match_column(df, leaf("f|cidr", net))).count() == 1) is inside
