@@ -209,3 +209,20 @@ def test_states_expire_on_a_stream(spark, tmp_path):
     left = spark.read.format("statestore").option("stateVarName", "folds").load(str(tmp_path / "state"))
     assert left.select("key").distinct().count() > 0
     assert left.count() <= 4
+
+
+def test_calls_into_the_store_by_group_of_a_correlation():
+    """A new group is one call; a known one is two. The lane has three more, whatever its groups are."""
+    schema = pa.schema([("_key", pa.string()), ("_us", pa.int64()), ("_seq", pa.int64()), ("_refs", pa.list_(pa.int32())), ("_value", pa.string()), ("_event", pa.string())])
+    made = _Processor(["_lane", *schema.names], schema, lambda: CorrelationFold("temporal_ordered", 1000, 2), lambda fold, us, refs, value: fold.observe(us, tuple(refs), value), 1000, Expiry(watermark="1 minute"), False)
+    lane, calls = Lane(), []
+    counted = lambda name, f: lambda *a: (calls.append(name), f(*a))[1]
+    handle = SimpleNamespace(getMapState=lambda *a, **b: SimpleNamespace(**{k: counted(k, f) for k, f in vars(lane.getMapState()).items()}), listTimers=counted("listTimers", lane.listTimers), registerTimer=counted("registerTimer", lane.registerTimer))
+    made.init(handle)
+    part = lambda us, ref: pd.DataFrame([(0, f"g{i}", us, i, [ref], None, f"{us}-{i}") for i in range(400)])
+    assert list(made.handleInputRows((0,), iter([part(5, 0)]), None)) == []
+    assert sorted(calls) == ["exists", "listTimers", "registerTimer", *["updateValue"] * 400]
+    calls.clear()
+    [found] = made.handleInputRows((0,), iter([part(9, 1)]), None)
+    assert set(found._event) == {f"9-{i}" for i in range(400)}
+    assert sorted(calls) == ["exists", *["getValue"] * 400, "listTimers", *["updateValue"] * 400]
